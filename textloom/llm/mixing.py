@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import look_up, settle, without, word_count
+from textloom.llm.common import BROADCAST_ROWS, look_up, settle, without, word_count
 
 #: Rows of one (source, size) that one task ranks; larger classes are split.
-CLASS_ROWS = 20_000
+CLASS_ROWS = 1_000
 RESULT = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     rows = without(rows, RESULT).withColumnRenamed("__size", "size")
     rows = rows.withColumn("__key", _key(F.col(source_col)))
     mark = F.xxhash64(id_col)
-    whole = settle(rows.groupBy("__key", "size").agg(F.first(source_col).alias("source"), F.count(F.lit(1)).alias("n")), "classes")
+    whole = settle(rows.groupBy("__key", "size").agg(F.count(F.lit(1)).alias("n")), "classes")
     whole = whole.withColumn("__parts", F.ceil(F.col("n") / CLASS_ROWS).cast("int"))
     split = settle(whole.where("__parts > 1").select("__key", "size", "__parts"), "split")
     rows = look_up(rows, split, ["__key", "size"], mark).withColumn("__part", F.pmod(mark, F.coalesce("__parts", F.lit(1))).cast("int"))
@@ -69,10 +69,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     parts = parts.unionByName(whole.where("__parts = 1").select("__key", "size", F.lit(0).alias("__part"), "n"))
     before = Window.partitionBy("__key").orderBy("size", "__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("__start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    sources = whole.groupBy("__key").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    sources = whole.groupBy("__key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    sources = sources.withColumn("source", F.when(F.col("__key") != "n", F.expr("substr(__key, 2)")))
     targets = source_targets(sources.select("source", "source_size"), weights, total, most).withColumn("__key", _key(F.col("source"))).drop("source")
     starts = settle(starts.join(targets, "__key"), "starts")
-    rows = look_up(rows.drop("__parts"), starts, ["__key", "size", "__part"], mark, "inner")
+    few = starts.count() <= BROADCAST_ROWS  # else a plain join: no key has more than about CLASS_ROWS rows
+    rows = rows.drop("__parts").join(F.broadcast(starts) if few else starts, ["__key", "size", "__part"])
     rank = F.col("__start") + F.row_number().over(Window.partitionBy("__key", "size", "__part").orderBy(id_col))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "__key")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     each = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))

@@ -2,30 +2,68 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import read
+from textloom.llm.common import read, scratch, settle
 from textloom.llm.exact_dedup import exact_dedup
+from textloom.llm.line_rules import BOILERPLATE, MARKED_WORD, MENU, SENTENCE_INSIDE, SEPARATOR, TERMINAL, clean_lines
 from textloom.llm.mixing import mix
+from textloom.llm.packing import pack
+from textloom.llm.quality import document_statistics, score_quality, train_quality
+from textloom.llm.token_store import read_store, write_store
+from textloom.llm.toxicity import score_toxicity, train_toxicity
 from textloom.llm.url_rules import PATTERN_RULES, SITE_RULES, judge, pattern_regex
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def _remainder(mod: int):
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scores = score_toxicity(docs, train_toxicity(docs, labels, _remainder(5) != 0))
+    return scores.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = exact_dedup(docs, hash_all=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
 
 
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).drop("text")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), carry=["doc_id", "source"])
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    stats = settle(document_statistics(docs), "statistics")
+    scores = score_quality(stats, train_quality(stats, labels, _remainder(3) != 1))
+    return scores.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch(spark)}/textloom/tokens-{uuid.uuid4().hex}"
+    manifest = write_store(read(spark, sf_dir, "documents"), folder)
+    return read_store(spark, folder, manifest)
+
+
 OP3_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT doc_id, t, coalesce(max(doc_id) OVER (PARTITION BY t), doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
@@ -52,6 +90,37 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
 """
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_STRIP = r"regexp_replace({0}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {_WORDS.format('t')} AS ws FROM d),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(0, 8) AS x(k) GROUP BY doc_id),
+l AS (SELECT doc_id, n, line, {_WORDS.format('line')} AS ws, {_STRIP.format('line')} AS s
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM d)),
+q AS (SELECT *, len(list_filter(ws, lambda w: regexp_matches(w, {_quoted(SEPARATOR)}))) AS seps, len(ws) AS nw,
+             row_number() OVER (PARTITION BY doc_id, line ORDER BY n) > 1 AS dup FROM l WHERE len(ws) > 0),
+f AS (SELECT doc_id, nw, dup, (seps >= 3 AND nw - seps <= 4 * (seps + 1)) OR (nw <= 5 AND regexp_matches(s, {_quoted(MENU)}))
+             OR regexp_matches(s, {_quoted(BOILERPLATE)})
+             OR (NOT regexp_matches(s, {_quoted(TERMINAL)}) AND NOT regexp_matches(s, {_quoted(SENTENCE_INSIDE)}))
+             OR 100 * len(list_filter(ws, lambda w: regexp_matches(w, {_quoted(MARKED_WORD)}))) > 30 * nw AS bad FROM q),
+a AS (SELECT doc_id, count(*) FILTER (WHERE dup) AS n_dup, coalesce(sum(nw) FILTER (WHERE bad), 0) AS lost FROM f GROUP BY doc_id),
+b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
+             coalesce(p.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_words
+      FROM w LEFT JOIN a ON a.doc_id = w.doc_id LEFT JOIN p ON p.doc_id = w.doc_id)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_words <= 50 * n_words AS kept FROM b
+"""
+
+
 def _op9_sql() -> str:
     blocked = " OR ".join("regexp_matches(u, '(?i)%s')" % pattern_regex(p).replace("'", "''") for p in PATTERN_RULES)
     cases = []
@@ -71,11 +140,16 @@ SELECT page_id, url, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {b
 
 def queries() -> dict:
     return {
+        "op1_packing": op1_packing,
+        "op2_toxicity": op2_toxicity,
         "op3_exact_dedup": op3_exact_dedup,
+        "op6_line_rules": op6_line_rules,
         "op7_mixing": op7_mixing,
+        "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
+        "op10_token_store": op10_token_store,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL, "op9_url_filter": _op9_sql()}
+    return {"op3_exact_dedup": OP3_SQL, "op6_line_rules": OP6_SQL, "op7_mixing": OP7_SQL, "op9_url_filter": _op9_sql()}
