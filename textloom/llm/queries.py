@@ -11,6 +11,7 @@ from textloom.llm.common import read, scratch, settle
 from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.line_rules import BOILERPLATE, MARKED_WORD, MENU, SENTENCE_INSIDE, SEPARATOR, TERMINAL, clean_lines
 from textloom.llm.mixing import mix
+from textloom.llm.near_dedup import near_components
 from textloom.llm.packing import pack
 from textloom.llm.quality import document_statistics, score_quality, train_quality
 from textloom.llm.token_store import read_store, write_store
@@ -38,6 +39,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(read(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).drop("text")
 
@@ -90,6 +95,22 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
 """
 
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END AS gs FROM d),
+n AS (SELECT doc_id, len(gs)::BIGINT AS n FROM g),
+s AS (SELECT doc_id, unnest(gs) AS gram FROM g),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reach FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach),
+m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)
+"""
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -143,6 +164,7 @@ def queries() -> dict:
         "op1_packing": op1_packing,
         "op2_toxicity": op2_toxicity,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_minhash": op4_minhash,
         "op6_line_rules": op6_line_rules,
         "op7_mixing": op7_mixing,
         "op8_quality": op8_quality,
@@ -152,4 +174,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op6_line_rules": OP6_SQL, "op7_mixing": OP7_SQL, "op9_url_filter": _op9_sql()}
+    return {"op3_exact_dedup": OP3_SQL, "op4_minhash": OP4_SQL, "op6_line_rules": OP6_SQL, "op7_mixing": OP7_SQL, "op9_url_filter": _op9_sql()}

@@ -14,8 +14,10 @@ from textloom.llm.words import gram_hashes
 BITS = 20
 #: The documented bound of the training sample: so many labelled rows come to the driver at most, as hashed features.
 TRAIN_ROWS = 8_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.5, 0.1
+EPOCHS = 8
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 30.0, 0.0
+#: Documents of the rarer label 1 count so often at most.
+MAX_WEIGHT = 10.0
 STRIP = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
@@ -49,6 +51,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
 
     Per slot: z sums gradients corrected by the change of the rate, n squared gradients; the weight is zero while
     abs(z) <= L1, else -(z - sign(z) L1) / ((BETA + sqrt(n)) / ALPHA + L2). The bias has no L1.
+    Label 1 is weighted up to the number of label 0, MAX_WEIGHT times at most, so that half is a fair threshold.
     """
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
@@ -60,13 +63,14 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
         return np.where(np.abs(zi) <= floor[at], 0.0, -(zi - np.sign(zi) * floor[at]) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
     sets = [np.append(r, bias) for r in rows]
+    heavier = min(max(np.sum(labels == 0) / max(np.sum(labels == 1), 1), 1.0), MAX_WEIGHT)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in order.permutation(len(sets)):
             at = sets[k]
             w = weights(at)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-            g = p - labels[k]
+            g = (p - labels[k]) * (heavier if labels[k] else 1.0)
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
     every = weights(np.arange((1 << BITS) + 1))
