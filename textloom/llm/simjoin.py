@@ -15,6 +15,8 @@ from textloom.llm.components import connected_components
 SKETCH, INDEXED = 64, 24
 #: A link may be missed with this probability at most, if its similarity is just the threshold.
 MISS = 1e-7
+#: Members up to which a list's pairs are made one by one; longer lists go by their centre.
+LIST = 32
 #: Standard errors below the threshold at which an estimate drops a pair.
 ERRORS = 5.0
 
@@ -78,6 +80,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, full_sets: Callable[[DataFrame]
     return out
 
 
+def _around_centres(groups: DataFrame, full_sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links and candidate pairs within large groups (h, id), without all pairs of a group.
+
+    The centre c of a group is what more than half of its sets hold. With D(x) = c - x, A(x) = x - c and
+    overlap(x, y) = |D(x) & D(y)| + |A(x) & A(y)|, the intersection of x and y is |c| - |D(x)| - |D(y)| + overlap(x, y);
+    so they are linked exactly if 2 (num + den) overlap(x, y) >= G(x) + G(y), where
+    G(x) = 2 num |x| - (num + den) (|c| - 2 |D(x)|).
+    Let s have the least G. Every y with G(y) + G(s) <= 0 is linked to s: that is one row per member. Any other x needs
+    an overlap of at least m = (G(x) + G(s)) / (2 (num + den)) with whatever it is linked to, so one of its differences
+    from the centre, all but the m - 1 most frequent ones, is a difference of its partner too. Near copies that were
+    edited apart share no such differences, so they make no pairs.
+    """
+    full = settle(full_sets(settle(groups.select("id").distinct(), "ids")), "items")
+    members = settle(groups.join(full, "id"), "members")
+    held = members.select("h", F.explode("items").alias("s")).groupBy("h", "s").agg(F.count(F.lit(1)).alias("df"))
+    sizes = groups.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+    centre = held.join(sizes, "h").where(F.col("df") * 2 > F.col("size")).groupBy("h").agg(F.collect_list("s").alias("c"))
+    centre = settle(centre, "centres")
+    rows = members.join(centre, "h", "left").withColumn("c", F.coalesce("c", F.array().cast("array<long>")))
+    rows = rows.select("h", "id", F.size("items").alias("n"), F.size("c").alias("nc"), F.array_except("c", "items").alias("d"), F.array_except("items", "c").alias("a"))
+    rows = rows.withColumn("g", F.lit(2 * num) * F.col("n") - F.lit(num + den) * (F.col("nc") - 2 * F.size("d")))
+    rows = settle(rows.withColumn("d", F.concat(F.transform("d", lambda x: F.struct(F.lit(True).alias("d"), x.alias("s"))), F.transform("a", lambda x: F.struct(F.lit(False).alias("d"), x.alias("s")))))
+                  .select("h", "id", "g", "d"), "differences")
+    first = settle(rows.groupBy("h").agg(F.min(F.struct("g", "id")).alias("s")).select("h", F.col("s.g").alias("gs"), F.col("s.id").alias("s")), "nearest")
+    rows = rows.join(first, "h")
+    sure = rows.where("g + gs <= 0 AND id <> s").select(F.col("id").alias("a"), F.col("s").alias("b"))
+    each = rows.select("h", "id", "g", "gs", F.explode("d").alias("x")).select("h", "id", "g", "gs", "x.d", "x.s")
+    df = each.groupBy("h", "d", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    listed = each.join(df, ["h", "d", "s"]).groupBy("h", "id", "g", "gs").agg(F.sort_array(F.collect_list(F.struct("df", "d", "s"))).alias("xs"))
+    unit = F.lit(2 * (num + den))
+    listed = settle(listed.withColumn("room", F.size("xs") * unit - F.col("g")), "shared")
+    most = listed.groupBy("h").agg(F.max("room").alias("most"))
+    outside = listed.join(most, "h").where("g + gs > 0 AND room >= gs AND g <= most")
+    places = (F.size("xs") - F.ceil((F.col("g") + F.col("gs")) / unit) + 1).cast("int")
+    probe = outside.where(places > 0).select("h", F.col("id").alias("a"), F.col("g").alias("ga"), F.col("room").alias("ra"), F.explode(F.slice("xs", 1, places)).alias("x"))
+    probe = probe.select("h", "a", "ga", "ra", "x.d", "x.s")
+    other = listed.where("room > -gs").select("h", F.col("id").alias("b"), F.col("g").alias("gb"), F.col("room").alias("rb"), F.explode("xs").alias("x"))
+    other = other.select("h", "b", "gb", "rb", "x.d", "x.s")
+    pairs = probe.join(other, ["h", "d", "s"]).where("a <> b AND gb <= ra AND ga <= rb")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = settle(sure, "sure"), settle(pairs, "close")
+    discard(full, members, centre, first, listed)
+    return out
+
+
 def linked(sets: DataFrame, full_sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(id, component) of every id that is linked to another one: size of intersection / size of union >= num / den.
 
@@ -85,28 +132,29 @@ def linked(sets: DataFrame, full_sets: Callable[[DataFrame], DataFrame], num: in
     ``full_sets``: from a table of ids to (id, items). Components are exact but for MISS per link.
 
     An inverted list of n sets has n^2 pairs, so they are not made. First each list's least id stands for the list and
-    its members are verified against it, n pairs; what links forms components. Then only pairs of a list that lie in
-    different components are made, and never two from the list's largest component: in a group of near copies, however
-    large, nearly all members are in that one, and pairs within it could change nothing. Lists of unrelated sets are
-    short, since sets stand only under their rarest hashes.
+    its members are verified against it, n pairs; what links forms components. A list whose members all lie in one
+    component is done. Of the others, lists of at most LIST members make the pairs between components, and the longer
+    ones, put together by that least id, are searched around their centre.
     """
     index = settle(_index(sets, num, den), "index")
-    hubs = index.groupBy("v").agg(F.min(F.struct("id", "n")).alias("hub"))
+    hubs = settle(index.groupBy("v").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("m")), "hubs")
     pairs = index.join(hubs, "v").where((F.col("id") != F.col("hub.id")) & _near_size(F.col("n"), F.col("hub.n"), num, den))
     pairs = settle(pairs.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct(), "pairs")
     stars = _verified(pairs, sets, full_sets, num, den)
     components = settle(connected_components(stars), "components")
     placed = settle(index.join(components, "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("c")), "placed")
-    parts = placed.groupBy("v", "c").agg(F.count(F.lit(1)).alias("m"))
-    mixed = parts.groupBy("v").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("v", F.col("top.c").alias("top"))
-    mixed = settle(mixed, "mixed")
-    lists = placed.join(mixed, "v")
-    left = lists.where("c <> top").select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = lists.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), (F.col("c") == F.col("top")).alias("is_top"))
-    rest = left.join(right, "v").where((F.col("ca") != F.col("cb")) & (F.col("is_top") | (F.col("a") < F.col("b"))) & _near_size(F.col("na"), F.col("nb"), num, den))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = settle(rest.join(pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, sets, full_sets, num, den)
+    mixed = placed.groupBy("v").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("v")
+    mixed = settle(mixed.join(hubs, "v").select("v", "m", F.col("hub.id").alias("h")), "mixed")
+    lists = placed.join(mixed.where(F.col("m") <= LIST).select("v"), "v")
+    left = lists.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    right = lists.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    rest = left.join(right, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_size(F.col("na"), F.col("nb"), num, den))
+    rest = rest.select("a", "b").distinct()
+    groups = settle(placed.join(mixed.where(F.col("m") > LIST).select("v", "h"), "v").select("h", "id").distinct(), "groups")
+    sure, close = _around_centres(groups, full_sets, num, den)
+    rest = rest.unionByName(close).distinct().join(pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
+    rest = settle(rest, "rest")
+    more = settle(_verified(rest, sets, full_sets, num, den).union(sure), "more")
     out = components if not more.count() else settle(connected_components(stars.union(more)), "components")
-    discard(index, pairs, stars, placed, mixed, rest, more)
+    discard(index, hubs, pairs, stars, placed, mixed, groups, sure, close, rest, more)
     return out
