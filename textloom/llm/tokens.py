@@ -9,8 +9,8 @@ import unicodedata
 
 import numpy as np
 
-#: Chunks in one generation of the cache; at most two generations are held, about 150 MB a worker.
-GENERATION = 350_000
+#: Chunks in one generation of the cache; at most two generations are held, about 100 MB a worker.
+GENERATION = 200_000
 #: Texts with one of these are encoded whole: a special token's start, letters whose lower case depends on their
 #: neighbours, and control characters that Python counts as white space but the tokenizer does not.
 WHOLE = ("<|", "Σ", "İ", "\x1c", "\x1d", "\x1e", "\x1f")
