@@ -34,23 +34,27 @@ RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 _terminal, _inside, _marked, _separator, _menu, _boiler = map(re.compile, (TERMINAL, SENTENCE_INSIDE, MARKED_WORD, SEPARATOR, MENU, BOILERPLATE))
 _spaces = re.compile(r"[\x20\x09-\x0D]+")
-_no_space = str.maketrans("", "", SPACE)
-_not_symbol = re.compile(r"[^#*$%&|<>]+")
+_any_separator, _any_marks = re.compile("[|»›•·]"), re.compile(r"[#*$%&<>!?]{2}")
+#: Every boilerplate phrase has one of these; only texts that do have their lines tried for phrases.
+BOILERPLATE_HINTS = ("reserved", "licensed", "released", "terms of", "policy", "cookies", "javascript", "lorem", "click", "subscribe", "sign up",
+                     "powered", "copyright", "©", "(c)")
 
 
-def failed_rule(line: str, words: list[str]) -> str | None:
-    """The first rule a line with words fails: punctuation, marks, navigation or boilerplate."""
+def failed_rule(line: str, n: int, phrases: bool = True) -> str | None:
+    """The first rule a line with n words fails: navigation, boilerplate, punctuation or marks. Words are looked at one
+    by one only where the line has a separator or a string of marks at all."""
     line = line.strip(SPACE)
-    separators = sum(1 for w in words if _separator.search(w)) if len(words) >= MIN_SEPARATORS else 0
-    if separators >= MIN_SEPARATORS and len(words) - separators <= MAX_ENTRY_WORDS * (separators + 1):
+    if n >= MIN_SEPARATORS and _any_separator.search(line):
+        separators = sum(1 for w in _spaces.split(line) if _separator.search(w))
+        if separators >= MIN_SEPARATORS and n - separators <= MAX_ENTRY_WORDS * (separators + 1):
+            return "navigation"
+    if n <= 5 and _menu.search(line):
         return "navigation"
-    if len(words) <= 5 and _menu.search(line):
-        return "navigation"
-    if _boiler.search(line):
+    if phrases and _boiler.search(line):
         return "boilerplate"
-    if not _terminal.search(line) and not _inside.search(line):
+    if not _terminal.search(line[-1:]) and not _inside.search(line):
         return "punctuation"
-    if 100 * sum(1 for w in words if _marked.search(w)) > MAX_MARKED_PERCENT * len(words):
+    if _any_marks.search(line) and 100 * sum(1 for w in _spaces.split(line) if _marked.search(w)) > MAX_MARKED_PERCENT * n:
         return "marks"
     return None
 
@@ -74,22 +78,24 @@ def examine(text: str) -> tuple:
     """The values of RESULT for one text."""
     n_words = dup = lost = 0
     kept_lines, seen = [], set()
+    low = text.lower()
+    phrases = any(h in low for h in BOILERPLATE_HINTS)
     for line in text.split("\n"):
-        words = [w for w in _spaces.split(line) if w]
-        if not words:
+        n = len(line.encode("utf-8", "surrogatepass").split())
+        if not n:
             kept_lines.append(line)
             continue
-        n_words += len(words)
+        n_words += n
         dup += line in seen
         seen.add(line)
-        if failed_rule(line, words):
-            lost += len(words)
+        if failed_rule(line, n, phrases):
+            lost += n
         else:
             kept_lines.append(line)
     repeat = repeated_words(text.encode("utf-8", "surrogatepass").split())
     base = n_words < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n_words
     kept = not base and 100 * lost <= MAX_LOST_PERCENT * n_words
-    return (n_words, len(text.translate(_no_space)), len(_not_symbol.sub("", text)), dup, repeat, base, lost, kept,
+    return (n_words, len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), dup, repeat, base, lost, kept,
             "\n".join(kept_lines) if lost else text)
 
 

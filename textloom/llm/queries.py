@@ -14,6 +14,7 @@ from textloom.llm.mixing import mix
 from textloom.llm.near_dedup import near_components
 from textloom.llm.packing import pack
 from textloom.llm.quality import document_statistics, score_quality, train_quality
+from textloom.llm.substring_dedup import repeated_passages
 from textloom.llm.token_store import read_store, write_store
 from textloom.llm.toxicity import score_toxicity, train_toxicity
 from textloom.llm.url_rules import PATTERN_RULES, SITE_RULES, judge, pattern_regex
@@ -43,6 +44,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(read(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).drop("text")
 
@@ -165,6 +170,7 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_minhash": op4_minhash,
+        "op5_passages": op5_passages,
         "op6_line_rules": op6_line_rules,
         "op7_mixing": op7_mixing,
         "op8_quality": op8_quality,
