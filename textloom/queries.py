@@ -1,15 +1,800 @@
-"""Registry of the core queries."""
+"""Registry of the core queries: each applies operators to whole tables, with DuckDB SQL where SQL can say the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textloom.functions import edits as ed
+from textloom.functions import tokens as tk
+from textloom.operators import candidates as ca
+from textloom.operators import correct as co
+from textloom.operators import corrupt as cr
+from textloom.operators import decode as de
+from textloom.operators import evaluate as ev
+from textloom.operators import grammar as gr
+from textloom.operators import live as lv
+from textloom.operators import lm
+from textloom.operators import tagging as tg
+from textloom.plans.demo import CONLLU, TREEBANK
+from textloom.session import read, settle
+from textloom.sources import corpus
+from textloom.sources.conllu import parse_conllu
+from textloom.sources.sinks import pcfg_cell, report_line
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+_kept: dict[tuple, object] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def kept(f):
+    """Trained models and token tables are settled once per application and input folder."""
+
+    @wraps(f)
+    def once(spark: SparkSession, sf_dir: str, *more):
+        key = (spark.sparkContext.applicationId, sf_dir, f.__name__, *more)
+        if key not in _kept:
+            _kept[key] = f(spark, sf_dir, *more)
+        return _kept[key]
+
+    return once
+
+
+# Tables ------------------------------------------------------------------------------------------------------------
+
+_SENTS = r"""
+sents AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS sent, unnest(l) AS sentence
+          FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1)) AS l FROM documents WHERE text IS NOT NULL)),
+raw AS (SELECT doc_id, sent, sentence, regexp_extract_all(sentence, '[A-Za-z]+(?:''[A-Za-z]+)?') AS raw FROM sents),
+toks AS (SELECT doc_id, sent, list_transform(raw, lambda w: lower(w)) AS t FROM raw WHERE len(raw) > 0),
+uni AS (SELECT w AS w1, count(*) AS c FROM (SELECT unnest(t) AS w FROM toks) GROUP BY w),
+num AS (SELECT sum(c) AS total, count(*) AS vocab FROM uni)"""
+_BI = """,
+bp AS (SELECT list_concat(list_concat(['<s>'], t), ['</s>']) AS p FROM toks),
+bi AS (SELECT w1, w2, count(*) AS c FROM (SELECT p[i] AS w1, p[i + 1] AS w2 FROM (SELECT p, unnest(range(1, len(p))) AS i FROM bp)) GROUP BY w1, w2),
+ctx AS (SELECT w1, sum(c) AS c FROM bi GROUP BY w1)"""
+
+
+def _tri(left: str, right: str) -> str:
+    return f""",
+tp AS (SELECT list_concat(list_concat(['{left}', '{left}'], t), ['{right}']) AS p FROM toks),
+tri AS (SELECT w1, w2, w3, count(*) AS c FROM (SELECT p[i] AS w1, p[i + 1] AS w2, p[i + 2] AS w3 FROM (SELECT p, unnest(range(1, len(p) - 1)) AS i FROM tp)) GROUP BY w1, w2, w3),
+tctx AS (SELECT w1, w2, sum(c) AS c FROM tri GROUP BY w1, w2)"""
+
+
+_BENCH = """,
+b AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?'), lambda w: lower(w)) AS t FROM benchmark WHERE text IS NOT NULL),
+bw AS (SELECT DISTINCT unnest(t) AS w FROM b),
+q AS (SELECT w AS q FROM bw UNION SELECT concat(substr(w, 1, len(w) // 2), substr(w, len(w) // 2 + 2)) FROM bw WHERE len(w) >= 4),
+vocab AS (SELECT w1 AS w FROM uni),
+dq AS (SELECT DISTINCT q, v FROM (SELECT q, unnest(list_concat([q], list_transform(range(1, len(q) + 1), lambda i: concat(substr(q, 1, i - 1), substr(q, i + 1))))) AS v FROM q)),
+dw AS (SELECT DISTINCT w, v FROM (SELECT w, unnest(list_concat([w], list_transform(range(1, len(w) + 1), lambda i: concat(substr(w, 1, i - 1), substr(w, i + 1))))) AS v FROM vocab)),
+rawc AS (SELECT DISTINCT q, w FROM dq JOIN dw USING (v) WHERE q <> w),
+cand AS (SELECT q, w FROM rawc WHERE damerau_levenshtein(q, w) <= 1)"""
+
+
+@kept
+def sentence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.document_sentences(read(spark, sf_dir, "documents")).select("doc_id", "sent", F.transform("raw", lambda w: F.lower(w)).alias("tokens"))
+    return settle(rows.where(F.size("tokens") > 0), "sentences")
+
+
+@kept
+def bigram_model(spark: SparkSession, sf_dir: str) -> lm.NgramModel:
+    return lm.train_bigram(sentence_tokens(spark, sf_dir))
+
+
+@kept
+def trigram_model(spark: SparkSession, sf_dir: str) -> lm.NgramModel:
+    return lm.train_add_one(sentence_tokens(spark, sf_dir))
+
+
+@kept
+def add_k_model(spark: SparkSession, sf_dir: str, order: int) -> lm.NgramModel:
+    return lm.train_add_k(sentence_tokens(spark, sf_dir), order)
+
+
+@kept
+def bench_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "benchmark").where("text IS NOT NULL")
+    return settle(rows.select("item_id", "text", F.transform(tk.words(F.col("text")), lambda w: F.lower(w)).alias("tokens")), "benchmark")
+
+
+@kept
+def misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's words, and those of four letters or more without the one after their middle."""
+    w = bench_tokens(spark, sf_dir).select(F.explode("tokens").alias("w")).distinct()
+    cut = F.concat(F.expr("substr(w, 1, length(w) div 2)"), F.expr("substr(w, length(w) div 2 + 2)"))
+    return settle(w.select(F.col("w").alias("q")).union(w.where("length(w) >= 4").select(cut)).distinct(), "misspelt")
+
+
+@kept
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(bigram_model(spark, sf_dir).vocabulary(), "vocabulary")
+
+
+@kept
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(corpus.event_sentences(read(spark, sf_dir, "events")), "tagged")
+
+
+@kept
+def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(tg.sentences_of(tagged(spark, sf_dir), ["user_id"], ["ts", "event_id"]), "tagged-sentences")
+
+
+@kept
+def hmm(spark: SparkSession, sf_dir: str) -> tg.HmmModel:
+    return tg.train_hmm(tagged_sentences(spark, sf_dir))
+
+
+# Tokens ------------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, i - 1 AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i
+FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?') AS w FROM documents))""")
+def tokenize_words(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(tk.words(F.col("text"))).alias("pos", "word")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(r"""SELECT t, count(*) AS n FROM (SELECT CASE WHEN regexp_full_match(lower(w), '[a-z]+(?:''[a-z]+)?') THEN lower(w) WHEN regexp_matches(w, '\p{Nd}') THEN '<num>' END AS t
+FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents)) WHERE t IS NOT NULL GROUP BY t""")
+def normalise_tokens(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.explode(tk.normalise_tokens(F.split("text", " "))).alias("t"))
+    return rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""SELECT t, count(*) AS n FROM (SELECT lower(w) AS t FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents)) WHERE regexp_full_match(t, '[a-z]+(?:''[a-z]+)?') GROUP BY t""")
+def plain_tokens(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.explode(tk.plain_tokens(F.split("text", " "))).alias("t"))
+    return rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""SELECT t, count(*) AS n FROM (SELECT regexp_replace(lower(w), '[^\p{L}\p{N}'']', '', 'g') AS t FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations)) GROUP BY t""")
+def live_tokens(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select(F.explode(F.split("text", " ")).alias("w")).select(tk.live_token(F.col("w")).alias("t"))
+    return rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_SENTS} SELECT doc_id, sent, sentence, len(raw)::BIGINT AS n_words FROM raw")
+def sentence_split(spark, sf_dir):
+    rows = corpus.document_sentences(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("sent").cast("long").alias("sent"), "sentence", F.size("raw").cast("long").alias("n_words"))
+
+
+@query(f"WITH {_SENTS} SELECT doc_id, count(*) AS n_sentences, sum(len(raw))::BIGINT AS n_words FROM raw WHERE len(raw) >= 4 GROUP BY doc_id")
+def passage_scan(spark, sf_dir):
+    rows = corpus.passage_sentences(read(spark, sf_dir, "documents"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.size("raw")).cast("long").alias("n_words"))
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?') AS ws, regexp_matches(text, '[\s.!?,;:]$') AS closed FROM conversations)
+SELECT conv_id, turn, array_to_string(CASE WHEN closed OR len(ws) = 0 THEN ws ELSE ws[1:len(ws) - 1] END, ' ') AS committed, CASE WHEN closed OR len(ws) = 0 THEN '' ELSE ws[len(ws)] END AS partial FROM w""")
+def committed_partial(spark, sf_dir):
+    text = F.col("text")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(tk.committed(text), " ").alias("committed"), tk.partial(text).alias("partial"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?'), lambda w: CASE
+WHEN w = lower(w) THEN w WHEN w = upper(w) AND len(w) > 1 THEN upper(lower(w)) WHEN regexp_matches(substr(w, 1, 1), '[A-Z]') THEN concat(upper(substr(lower(w), 1, 1)), substr(lower(w), 2)) ELSE lower(w) END), ' ') AS cased FROM documents""")
+def match_case(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(tk.words(F.col("text")), lambda w: tk.match_case(w, F.lower(w))), " ").alias("cased"))
+
+
+# Language models ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_SENTS} SELECT w1, c FROM uni")
+def unigram_counts(spark, sf_dir):
+    return lm.count_ngrams(sentence_tokens(spark, sf_dir), 1, [], [])
+
+
+@query(f"WITH {_SENTS}{_BI} SELECT w1, w2, c FROM bi")
+def bigram_counts(spark, sf_dir):
+    return lm.count_ngrams(sentence_tokens(spark, sf_dir), 2, [tk.BOS], [tk.EOS])
+
+
+@query(f"WITH {_SENTS}{_tri('<START>', '<END>')} SELECT w1, w2, w3, c FROM tri")
+def trigram_counts(spark, sf_dir):
+    return lm.count_ngrams(sentence_tokens(spark, sf_dir), 3, [tk.START] * 2, [tk.END])
+
+
+@query(f"WITH {_SENTS}{_tri('<START>', '<END>')} SELECT w1, w2, c::BIGINT AS c FROM tctx")
+def trigram_contexts(spark, sf_dir):
+    return lm.contexts(lm.count_ngrams(sentence_tokens(spark, sf_dir), 3, [tk.START] * 2, [tk.END]), 3)
+
+
+@query(f"WITH {_SENTS}{_BI}{_tri('<s>', '</s>')} SELECT 2::BIGINT AS n_order, count(*) AS grams, sum(c)::BIGINT AS tokens, (SELECT count(*) FROM ctx) AS contexts FROM bi UNION ALL SELECT 3, count(*), sum(c)::BIGINT, (SELECT count(*) FROM tctx) FROM tri")
+def add_k_models(spark, sf_dir):
+    parts = []
+    for n in (2, 3):
+        m = add_k_model(spark, sf_dir, n)
+        parts.append(m.ngram.agg(F.lit(n).cast("long").alias("n_order"), F.count(F.lit(1)).alias("grams"), F.sum("c").alias("tokens")).join(m.context.agg(F.count(F.lit(1)).alias("contexts")), F.lit(True)))
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"WITH {_SENTS} SELECT total::BIGINT AS total, vocab::BIGINT AS vocab FROM num")
+def vocabulary_stats(spark, sf_dir):
+    return lm.count_ngrams(sentence_tokens(spark, sf_dir), 1, [], []).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("vocab"))
+
+
+@query(f"WITH {_SENTS} SELECT w1, c FROM uni ORDER BY c DESC, w1 LIMIT 10")
+def top_unigrams(spark, sf_dir):
+    return lm.top_unigrams(bigram_model(spark, sf_dir), 10)
+
+
+@query(f"WITH {_SENTS} SELECT w1, round(c / total, 9) AS mle, round(ln((c + 0.01) / (total + 0.01 * (vocab + 1))), 6) AS log_p FROM uni, num")
+def unigram_probability(spark, sf_dir):
+    m = bigram_model(spark, sf_dir)
+    return m.unigram.select("w1", F.round(F.col("c") / m.total, 9).alias("mle"), F.round(F.log(lm.unigram_add_k(F.col("c"), m.total, m.vocab, 0.01)), 6).alias("log_p"))
+
+
+@query(f"WITH {_SENTS}{_BI} SELECT bi.w1, w2, round(ln((bi.c + 0.01) / (ctx.c + 0.01 * (vocab + 2))), 6) AS log_p FROM bi JOIN ctx ON ctx.w1 = bi.w1, num")
+def bigram_add_k(spark, sf_dir):
+    m = bigram_model(spark, sf_dir)
+    rows = lm.look_up(m.ngram, m.context, ["w1"], "c1")
+    return rows.select("w1", "w2", F.round(F.log(lm.add_k(F.col("c"), F.col("c1"), m.vocab, 0.01)), 6).alias("log_p"))
+
+
+@query(f"WITH {_SENTS}{_BI} SELECT bi.w1, bi.w2, round(ln(0.85::DOUBLE * bi.c / ctx.c + (1 - 0.85::DOUBLE) * (coalesce(uni.c, 0) + 0.5) / (total + 0.5 * (vocab + 2))), 6) AS log_p FROM bi JOIN ctx ON ctx.w1 = bi.w1 LEFT JOIN uni ON uni.w1 = bi.w2, num")
+def bigram_interpolated(spark, sf_dir):
+    m = bigram_model(spark, sf_dir)
+    rows = lm.look_up(lm.look_up(m.ngram, m.context, ["w1"], "c1"), m.unigram, ["w2"], "cu")
+    return rows.select("w1", "w2", F.round(F.log(lm.interpolated(F.col("c"), F.col("c1"), F.col("cu"), m.total, m.vocab)), 6).alias("log_p"))
+
+
+@query(f"WITH {_SENTS}{_tri('<START>', '<END>')} SELECT tri.w1, tri.w2, w3, round(ln((tri.c + 1) / (tctx.c + vocab)), 6) AS log_p FROM tri JOIN tctx ON tctx.w1 = tri.w1 AND tctx.w2 = tri.w2, num")
+def trigram_add_one(spark, sf_dir):
+    m = trigram_model(spark, sf_dir)
+    rows = lm.look_up(m.ngram, m.context, ["w1", "w2"], "c2")
+    return rows.select("w1", "w2", "w3", F.round(F.log(lm.add_one(F.col("c"), F.col("c2"), m.vocab)), 6).alias("log_p"))
+
+
+def _scores_sql(n: int, left: str, right: str, p: str, grams: str, ctx: str) -> str:
+    pads = ", ".join(f"'{left}'" for _ in range(n - 1))
+    names = [f"w{k + 1}" for k in range(n)]
+    on = lambda t, ks: " AND ".join(f"{t}.{k} = g.{k}" for k in ks)
+    pick = ", ".join(f"p[i + {k}] AS {name}" for k, name in enumerate(names))
+    return f""",
+bs AS (SELECT item_id, len(t) AS n, list_concat(list_concat([{pads}], t), ['{right}']) AS p FROM b WHERE len(t) > 0),
+g AS (SELECT item_id, n, {pick} FROM (SELECT *, unnest(range(1, len(p) - {n - 2})) AS i FROM bs)),
+sc AS (SELECT item_id, g.n, sum(ln({p})) AS lp FROM g LEFT JOIN {grams} a ON {on('a', names)} LEFT JOIN {ctx} x ON {on('x', names[:-1])}, num GROUP BY item_id, g.n)"""
+
+
+_ADDK = "(coalesce(a.c, 0) + 0.01) / (coalesce(x.c, 0) + 0.01 * (vocab + 2))"
+
+
+@query(f"WITH {_SENTS}{_BI}{_BENCH}{_scores_sql(2, '<s>', '</s>', _ADDK, 'bi', 'ctx')} SELECT item_id, n::BIGINT AS n, round(lp, 6) AS log_prob, round(exp(-lp / (n + 1)), 4) AS perplexity FROM sc")
+def sentence_perplexity(spark, sf_dir):
+    out = lm.sentence_scores(bench_tokens(spark, sf_dir), bigram_model(spark, sf_dir), tk.BOS, tk.EOS, 0.01, ["item_id"])
+    return out.select("item_id", F.col("n").cast("long").alias("n"), F.round("log_prob", 6).alias("log_prob"), F.round("perplexity", 4).alias("perplexity"))
+
+
+@query(f"WITH {_SENTS}{_tri('<START>', '<END>')}{_BENCH}{_scores_sql(3, '<START>', '<END>', '(coalesce(a.c, 0) + 1) / (coalesce(x.c, 0) + vocab)', 'tri', 'tctx')} SELECT item_id, round(lp, 6) AS log_prob FROM sc")
+def sentence_add_one(spark, sf_dir):
+    out = lm.sentence_scores(bench_tokens(spark, sf_dir), trigram_model(spark, sf_dir), tk.START, tk.END, None, ["item_id"])
+    return out.select("item_id", F.round("log_prob", 6).alias("log_prob"))
+
+
+@query(f"""WITH {_SENTS}{_BI}{_tri('<s>', '</s>')}{_BENCH}{_scores_sql(2, '<s>', '</s>', _ADDK, 'bi', 'ctx')}
+{_scores_sql(3, '<s>', '</s>', _ADDK, 'tri', 'tctx').replace('bs AS', 'bs3 AS').replace('FROM bs)', 'FROM bs3)').replace('g AS (', 'g3 AS (', 1).replace('FROM g LEFT', 'FROM g3 g LEFT').replace('sc AS', 'sc3 AS')}
+SELECT sc.item_id, round(sqrt(exp(-sc.lp / (sc.n + 1)) * exp(-sc3.lp / (sc3.n + 1))), 4) AS perplexity FROM sc JOIN sc3 ON sc.item_id = sc3.item_id""")
+def window_perplexity(spark, sf_dir):
+    two, three = (lm.sentence_scores(bench_tokens(spark, sf_dir), add_k_model(spark, sf_dir, n), tk.BOS, tk.EOS, 0.01, ["item_id"]).select("item_id", F.col("perplexity").alias(f"p{n}")) for n in (2, 3))
+    return two.join(three, "item_id").select("item_id", F.round(lm.window_perplexity(F.col("p2"), F.col("p3")), 4).alias("perplexity"))
+
+
+# Candidates and corrections ----------------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM benchmark)
+SELECT w, len(list_distinct(list_transform(range(1, len(w) + 1), lambda i: concat(substr(w, 1, i - 1), substr(w, i + 1)))))::BIGINT AS n,
+array_to_string(list_sort(list_distinct(list_transform(range(1, len(w) + 1), lambda i: concat(substr(w, 1, i - 1), substr(w, i + 1))))), ' ') AS deletes FROM w""")
+def deletes(spark, sf_dir):
+    w = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
+    return w.select("w", F.size(ed.deletes(F.col("w"))).cast("long").alias("n"), F.array_join(F.array_sort(ed.deletes(F.col("w"))), " ").alias("deletes"))
+
+
+@query("""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM benchmark),
+a AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz''', '')) AS c),
+i AS (SELECT w, unnest(range(0, len(w) + 1)) AS i FROM w),
+e AS (SELECT w, concat(substr(w, 1, i - 1), substr(w, i + 1)) AS e FROM i WHERE i > 0
+UNION SELECT w, concat(substr(w, 1, i - 1), substr(w, i + 1, 1), substr(w, i, 1), substr(w, i + 2)) FROM i WHERE i > 0 AND i < len(w)
+UNION SELECT w, concat(substr(w, 1, i - 1), c, substr(w, i + 1)) FROM i, a WHERE i > 0 UNION SELECT w, concat(substr(w, 1, i), c, substr(w, i + 1)) FROM i, a)
+SELECT w, count(*) AS n_edits, min(e) AS least, max(e) AS most FROM e GROUP BY w""")
+def edit_counts(spark, sf_dir):
+    w = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
+    e = w.withColumn("e", ed.edits(F.col("w")))
+    return e.select("w", F.size("e").cast("long").alias("n_edits"), F.array_min("e").alias("least"), F.array_max("e").alias("most"))
+
+
+@query(f"WITH {_SENTS}{_BENCH} SELECT count(DISTINCT v) AS keys, count(*) AS postings FROM dw")
+def delete_index_stats(spark, sf_dir):
+    return ca.index_statistics(ca.delete_index(vocabulary(spark, sf_dir)))
+
+
+@query(f"WITH {_SENTS}{_BENCH} SELECT q, w FROM cand")
+def candidates_a(spark, sf_dir):
+    return ca.by_enumeration(misspelt(spark, sf_dir), vocabulary(spark, sf_dir))
+
+
+@query(f"WITH {_SENTS}{_BENCH} SELECT q, w FROM cand")
+def candidates_b(spark, sf_dir):
+    return ca.by_index(misspelt(spark, sf_dir), ca.delete_index(vocabulary(spark, sf_dir)))
+
+
+@query(f"WITH {_SENTS}{_BENCH} SELECT q, w FROM rawc")
+def candidates_raw(spark, sf_dir):
+    return ca.by_index(misspelt(spark, sf_dir), ca.delete_index(vocabulary(spark, sf_dir)), verify=False)
+
+
+@query("SELECT 0::BIGINT AS mismatches")
+def method_mismatches(spark, sf_dir):
+    v, q = vocabulary(spark, sf_dir), misspelt(spark, sf_dir)
+    return ca.mismatches(ca.candidates(q, v, "A"), ca.candidates(q, v, "both")).agg(F.count(F.lit(1)).alias("mismatches"))
+
+
+@query(f"WITH {_SENTS}{_BENCH} SELECT q, len(q) + len(q) - 1 + 27 * len(q) + 27 * (len(q) + 1) AS built_a, len(q) + 1 AS built_b FROM q")
+def strings_built(spark, sf_dir):
+    a, b = ed.strings_built(F.col("q"))
+    return misspelt(spark, sf_dir).select("q", a.cast("long").alias("built_a"), b.cast("long").alias("built_b"))
+
+
+@query(f"""WITH {_SENTS}{_BENCH}, best AS (SELECT cand.q, max(row(c, -len(w), w)) AS b, count(*) AS n FROM cand JOIN uni ON uni.w1 = w GROUP BY cand.q)
+SELECT q.q, coalesce(b[3], q.q) AS best, coalesce(n, 0) AS n_candidates FROM q LEFT JOIN best ON best.q = q.q""")
+def nonword_correction(spark, sf_dir):
+    return co.correct_non_words(misspelt(spark, sf_dir), bigram_model(spark, sf_dir))
+
+
+def _triples(spark, sf_dir) -> DataFrame:
+    grams = bench_tokens(spark, sf_dir).select(F.explode(tk.ngrams(tk.padded(F.col("tokens"), [tk.BOS], [tk.EOS]), 3)).alias("g")).select("g.*").toDF("prev", "w", "nxt").distinct()
+    return grams.join(vocabulary(spark, sf_dir), "w", "left_semi")
+
+
+def _realword_sql(threshold: float) -> str:
+    ip = "ln(0.85::DOUBLE * CASE WHEN coalesce({x}.c, 0) > 0 THEN coalesce({p}.c, 0) / {x}.c ELSE 0 END + (1 - 0.85::DOUBLE) * (coalesce({u}.c, 0) + 0.5) / (total + 0.5 * (vocab + 2)))"
+    return f"""WITH {_SENTS}{_BI}{_BENCH.replace('q AS (SELECT w AS q FROM bw UNION', 'q AS (SELECT w AS q FROM bw WHERE w IN (SELECT w1 FROM uni)), q0 AS (SELECT w AS q FROM bw UNION')},
+pp AS (SELECT list_concat(list_concat(['<s>'], t), ['</s>']) AS p FROM b),
+tr AS (SELECT DISTINCT p[i] AS prev, p[i + 1] AS w, p[i + 2] AS nxt FROM (SELECT p, unnest(range(1, len(p) - 1)) AS i FROM pp)),
+tv AS (SELECT tr.* FROM tr JOIN uni ON uni.w1 = tr.w),
+op AS (SELECT tv.*, cand.w AS x FROM tv JOIN cand ON cand.q = tv.w WHERE len(tv.w) >= 3 UNION ALL SELECT tv.*, tv.w FROM tv WHERE len(tv.w) >= 3),
+sc AS (SELECT op.prev, op.w, op.nxt, op.x, coalesce(ux.c, 0) AS n, {ip.format(x='cl', p='bl', u='ux')} + {ip.format(x='cr', p='br', u='un')} AS score
+  FROM op LEFT JOIN bi bl ON bl.w1 = op.prev AND bl.w2 = op.x LEFT JOIN ctx cl ON cl.w1 = op.prev LEFT JOIN uni ux ON ux.w1 = op.x
+  LEFT JOIN bi br ON br.w1 = op.x AND br.w2 = op.nxt LEFT JOIN ctx cr ON cr.w1 = op.x LEFT JOIN uni un ON un.w1 = op.nxt, num),
+rk AS (SELECT *, row_number() OVER (PARTITION BY prev, w, nxt ORDER BY round(score, 9) DESC, n DESC, x) AS r FROM sc WHERE x <> w),
+fin AS (SELECT tv.*, rk.x, rk.score, own.score AS base FROM tv LEFT JOIN rk ON rk.prev = tv.prev AND rk.w = tv.w AND rk.nxt = tv.nxt AND rk.r = 1
+  LEFT JOIN sc own ON own.prev = tv.prev AND own.w = tv.w AND own.nxt = tv.nxt AND own.x = own.w)
+SELECT prev, w, nxt, CASE WHEN score - base >= {threshold} AND score > base THEN x ELSE w END AS best, round(CASE WHEN score - base >= {threshold} AND score > base THEN score - base ELSE 0.0::DOUBLE END, 5) AS gain FROM fin"""
+
+
+@query(_realword_sql(2.0))
+def realword_raw_context(spark, sf_dir):
+    """Real-word decisions with the raw left neighbour; the fold is correct_sentences."""
+    out = co.correct_real_words(_triples(spark, sf_dir), bigram_model(spark, sf_dir), co.CorrectorConfig(threshold=2.0))
+    return out.withColumn("gain", F.round("gain", 5))
+
+
+@query()
+def correct_sentences(spark, sf_dir):
+    return co.correct_token_arrays(bench_tokens(spark, sf_dir), bigram_model(spark, sf_dir), ["item_id"], co.CorrectorConfig(threshold=2.0))
+
+
+@query()
+def correct_texts(spark, sf_dir):
+    return co.correct_texts(bench_tokens(spark, sf_dir).select("item_id", "text"), bigram_model(spark, sf_dir), "item_id")
+
+
+# Segmentation and tags ---------------------------------------------------------------------------------------------
+
+
+@kept
+def glued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of four benchmark words put together, with the words as gold."""
+    rows = bench_tokens(spark, sf_dir).select("item_id", F.explode(tk.ngrams(F.col("tokens"), 4)).alias("g"))
+    rows = rows.select(F.array("g.w1", "g.w2", "g.w3", "g.w4").alias("gold")).distinct()
+    return settle(rows.select("gold", F.array_join("gold", "").alias("text")).dropDuplicates(["text"]), "glued")
+
+
+_GLUED = """,
+gl AS (SELECT DISTINCT concat(t[i], t[i + 1], t[i + 2], t[i + 3]) AS text FROM (SELECT t, unnest(range(1, len(t) - 2)) AS i FROM b)),
+r AS (SELECT text, text AS rest, '' AS words FROM gl
+UNION ALL SELECT text, substr(rest, n + 1), CASE WHEN words = '' THEN substr(rest, 1, n) ELSE words || ' ' || substr(rest, 1, n) END FROM (SELECT r.text, r.rest, r.words, coalesce(max(len(v.w)), 1) AS n
+FROM r LEFT JOIN vocab v ON len(v.w) <= 20 AND starts_with(r.rest, v.w) WHERE r.rest <> '' GROUP BY r.text, r.rest, r.words))"""
+
+
+@query(f"WITH RECURSIVE {_SENTS}{_BENCH}{_GLUED} SELECT text, words FROM r WHERE rest = ''")
+def greedy_segment(spark, sf_dir):
+    texts = glued(spark, sf_dir).select("text").distinct()
+    return de.decode(texts, de.reach(texts, trigram_model(spark, sf_dir)), "greedy").select("text", F.array_join("words", " ").alias("words"))
+
+
+@query()
+def viterbi_segment(spark, sf_dir):
+    texts = glued(spark, sf_dir).select("text").distinct()
+    return de.decode(texts, de.reach(texts, trigram_model(spark, sf_dir)), "viterbi").select("text", F.array_join("words", " ").alias("words"))
+
+
+@query()
+def segmentation_accuracy(spark, sf_dir):
+    texts = glued(spark, sf_dir)
+    out = de.decode(texts, de.reach(texts, trigram_model(spark, sf_dir)), "viterbi").select("text", "words")
+    return ev.exact_match(texts.join(out, "text"), F.col("gold"), F.col("words"))
+
+
+@kept
+def word_hmm(spark: SparkSession, sf_dir: str) -> tg.HmmModel:
+    """A tag model over documents whose tags are the documents' languages."""
+    rows = sentence_tokens(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang")), "doc_id")
+    return tg.train_hmm(rows.select(F.col("tokens").alias("words"), F.transform("tokens", lambda w: F.col("lang")).alias("tags")))
+
+
+@query()
+def joint_beam(spark, sf_dir):
+    texts = glued(spark, sf_dir).select("text").distinct()
+    out = de.decode(texts, de.reach(texts, trigram_model(spark, sf_dir), word_hmm(spark, sf_dir)), "joint")
+    return out.select("text", F.array_join("words", " ").alias("words"), F.array_join("tags", " ").alias("tags"))
+
+
+@query()
+def should_split(spark, sf_dir):
+    texts = bench_tokens(spark, sf_dir).select(F.explode("tokens").alias("text")).distinct()
+    out = de.decode(texts, de.reach(texts, trigram_model(spark, sf_dir), word_hmm(spark, sf_dir)), "split")
+    return out.select("text", "split", F.array_join("words", " ").alias("words"), F.array_join("tags", " ").alias("tags"))
+
+
+_TAGGED = """
+tk AS (SELECT user_id, ts, event_id, lower('V' || floor(value / 5)::INT) AS word, event_type AS tag FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL),
+em AS (SELECT word, tag, count(*) AS c FROM tk GROUP BY ALL), tgc AS (SELECT tag, sum(c) AS c FROM em GROUP BY tag),
+ls AS (SELECT user_id, list_concat(['<START>', '<START>'], list(tag ORDER BY ts, event_id)) AS p FROM tk GROUP BY user_id),
+t3 AS (SELECT w1, w2, w3, count(*) AS c FROM (SELECT p[i] AS w1, p[i + 1] AS w2, p[i + 2] AS w3 FROM (SELECT p, unnest(range(1, len(p) - 1)) AS i FROM ls)) GROUP BY ALL),
+t2 AS (SELECT w1, w2, sum(c) AS c FROM t3 GROUP BY ALL)"""
+_MFT = ", mf AS (SELECT word, tag AS pred FROM (SELECT word, tag, row_number() OVER (PARTITION BY word ORDER BY n DESC, f) AS r FROM (SELECT word, tag, count(*) AS n, min(row(ts, event_id)) AS f FROM tk GROUP BY ALL)) WHERE r = 1)"
+
+
+@query(f"WITH {_TAGGED} SELECT em.word, em.tag, round(ln((em.c + 1) / (tgc.c + (SELECT count(DISTINCT word) FROM em))), 6) AS log_p FROM em JOIN tgc ON tgc.tag = em.tag")
+def hmm_emission(spark, sf_dir):
+    return tg.emission(hmm(spark, sf_dir)).withColumn("log_p", F.round("log_p", 6))
+
+
+@query(f"WITH {_TAGGED} SELECT t3.w1, t3.w2, t3.w3, round(ln((t3.c + 1) / (t2.c + (SELECT count(*) FROM tgc))), 6) AS log_p FROM t3 JOIN t2 ON t2.w1 = t3.w1 AND t2.w2 = t3.w2")
+def hmm_transition(spark, sf_dir):
+    return tg.transition(hmm(spark, sf_dir)).withColumn("log_p", F.round("log_p", 6))
+
+
+@query(f"WITH {_TAGGED} SELECT word, array_to_string(list(tag ORDER BY tag), ' ') AS tags FROM em GROUP BY word")
+def tag_dictionary(spark, sf_dir):
+    return hmm(spark, sf_dir).word_tags().select("word", F.array_join("tags", " ").alias("tags"))
+
+
+@query(f"WITH {_TAGGED}{_MFT} SELECT word, pred AS tag FROM mf")
+def mft_tags(spark, sf_dir):
+    return tg.most_frequent_tags(tagged(spark, sf_dir), ["ts", "event_id"])
+
+
+def _predicted(spark, sf_dir) -> DataFrame:
+    rows = tg.tag_by_frequency(tagged(spark, sf_dir), mft_tags(spark, sf_dir))
+    return rows.withColumnRenamed("tag", "gold")
+
+
+@query(f"WITH {_TAGGED}{_MFT} SELECT count(*) AS n, sum((tag = pred)::INT)::BIGINT AS correct, round(avg((tag = pred)::INT), 6) AS accuracy FROM tk JOIN mf ON mf.word = tk.word")
+def pos_accuracy(spark, sf_dir):
+    return ev.pos_accuracy(_predicted(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"WITH {_TAGGED}{_MFT} SELECT tag AS gold, pred, count(*) AS n FROM tk JOIN mf ON mf.word = tk.word GROUP BY ALL")
+def confusion_matrix(spark, sf_dir):
+    return ev.confusion_matrix(_predicted(spark, sf_dir))
+
+
+@query(f"""WITH {_TAGGED}{_MFT}, tp AS (SELECT tag FROM tk GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 3)
+SELECT g.tag AS gold, p.tag AS pred, count(mf.pred) AS n FROM tp g CROSS JOIN tp p LEFT JOIN tk ON tk.tag = g.tag LEFT JOIN mf ON mf.word = tk.word AND mf.pred = p.tag GROUP BY ALL""")
+def confusion_top(spark, sf_dir):
+    wide = ev.top_confusion(_predicted(spark, sf_dir), 3)
+    return wide.unpivot(["gold"], [c for c in wide.columns if c != "gold"], "pred", "n")
+
+
+@query()
+def viterbi_tags(spark, sf_dir):
+    out = de.tag_sentences(tagged_sentences(spark, sf_dir), hmm(spark, sf_dir), ["user_id"])
+    return out.select("user_id", F.array_join("tags", " ").alias("tags"))
+
+
+@query()
+def error_sources(spark, sf_dir):
+    gold = glued(spark, sf_dir).select("text", F.posexplode("gold").alias("pos", "word")).withColumn("tag", F.when(F.length("word") > 3, "long").otherwise("short"))
+    words = greedy_segment(spark, sf_dir).select("text", F.posexplode(F.split("words", " ")).alias("pos", "word")).withColumn("tag", F.when(F.length("word") > 4, "long").otherwise("short"))
+    return ev.error_sources(gold, words, ["text"])
+
+
+# Corruption and evaluation -----------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM documents""")
+def sequential_split(spark, sf_dir):
+    return cr.sequential_split(read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query("""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(concat('42|', doc_id)), doc_id) <= round_even(0.1 * count(*) OVER (), 0) THEN 'test' ELSE 'train' END AS split FROM documents""")
+def shuffled_split(spark, sf_dir):
+    return cr.shuffled_split(read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+_CORRUPT = """,
+ab AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz', '')) AS c),
+ix AS (SELECT w, unnest(range(0, len(w) + 1)) AS i FROM bw),
+ed AS (SELECT w, concat(substr(w, 1, i - 1), substr(w, i + 1)) AS e FROM ix WHERE i > 0
+UNION SELECT w, concat(substr(w, 1, i - 1), substr(w, i + 1, 1), substr(w, i, 1), substr(w, i + 2)) FROM ix WHERE i > 0 AND i < len(w)
+UNION SELECT w, concat(substr(w, 1, i - 1), c, substr(w, i + 1)) FROM ix, ab WHERE i > 0 UNION SELECT w, concat(substr(w, 1, i), c, substr(w, i + 1)) FROM ix, ab)"""
+
+
+def _corrupt_sql(inside: str) -> str:
+    return f"WITH {_SENTS}{_BENCH}{_CORRUPT} SELECT w, arg_min(e, row(md5(concat('7|', w, '|', e)), e)) AS corrupted FROM ed WHERE e <> w AND e <> '' AND e {inside} (SELECT w1 FROM uni) GROUP BY w"
+
+
+@query(_corrupt_sql("NOT IN"))
+def corrupt_nonword(spark, sf_dir):
+    return cr.corrupt(bench_tokens(spark, sf_dir).select(F.explode("tokens").alias("w")), vocabulary(spark, sf_dir), False)
+
+
+@query(_corrupt_sql("IN"))
+def corrupt_realword(spark, sf_dir):
+    return cr.corrupt(bench_tokens(spark, sf_dir).select(F.explode("tokens").alias("w")), vocabulary(spark, sf_dir), True)
+
+
+@kept
+def test_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(cr.paired_test_set(bench_tokens(spark, sf_dir), vocabulary(spark, sf_dir), ["item_id"]), "cases")
+
+
+@query(f"""WITH {_SENTS}{_BENCH}{_CORRUPT},
+nw AS (SELECT w, arg_min(e, row(md5(concat('7|', w, '|', e)), e)) AS e FROM ed WHERE e <> w AND e <> '' AND e NOT IN (SELECT w1 FROM uni) GROUP BY w),
+rw AS (SELECT w, arg_min(e, row(md5(concat('7|', w, '|', e)), e)) AS e FROM ed WHERE e <> w AND e <> '' AND e IN (SELECT w1 FROM uni) GROUP BY w),
+tg AS (SELECT item_id, i - 1 AS pos, t[i] AS w FROM (SELECT item_id, t, unnest(range(1, len(t) + 1)) AS i FROM b)),
+cs AS (SELECT item_id, pos, tg.w AS original, nw.e AS non_word, rw.e AS real_word, row_number() OVER (PARTITION BY item_id ORDER BY md5(concat('7|', item_id, '|', pos)), pos) AS r
+FROM tg JOIN nw ON nw.w = tg.w JOIN rw ON rw.w = tg.w WHERE len(tg.w) >= 3 AND tg.w IN (SELECT w1 FROM uni))
+SELECT item_id, pos, original, non_word, real_word FROM cs WHERE r = 1""")
+def paired_test_set(spark, sf_dir):
+    return test_cases(spark, sf_dir).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query()
+def misspelling_batch(spark, sf_dir):
+    words = bench_tokens(spark, sf_dir).select("item_id", F.posexplode("tokens").alias("pos", "w")).select(F.concat_ws(":", "item_id", "pos").alias("id"), "w")
+    return cr.misspelling_batch(words, vocabulary(spark, sf_dir), 100)
+
+
+def _noisy(spark, sf_dir, column: str) -> DataFrame:
+    rows = bench_tokens(spark, sf_dir).join(test_cases(spark, sf_dir), "item_id").withColumn("corrupted", F.col(column))
+    return rows.select("item_id", "tokens", "pos", "original", "corrupted", F.transform("tokens", lambda w, i: F.when(i == F.col("pos"), F.col("corrupted")).otherwise(w)).alias("noisy"))
+
+
+@query()
+def eval_nonword(spark, sf_dir):
+    return ev.accuracy_of(ev.correction_cases(_noisy(spark, sf_dir, "non_word"), bigram_model(spark, sf_dir), ["item_id"], real_words=False))
+
+
+@query()
+def eval_realword(spark, sf_dir):
+    return ev.accuracy_of(ev.correction_cases(_noisy(spark, sf_dir, "real_word"), bigram_model(spark, sf_dir), ["item_id"]))
+
+
+@query()
+def false_alarms(spark, sf_dir):
+    return ev.false_alarms(bench_tokens(spark, sf_dir), bigram_model(spark, sf_dir), ["item_id"])
+
+
+@query()
+def threshold_sweep(spark, sf_dir):
+    return ev.threshold_sweep(_noisy(spark, sf_dir, "real_word"), bigram_model(spark, sf_dir), ["item_id"])
+
+
+@query()
+def scoring_grid(spark, sf_dir):
+    return ev.scoring_grid(_noisy(spark, sf_dir, "real_word"), bigram_model(spark, sf_dir), ["item_id"])
+
+
+@query()
+def residual_errors(spark, sf_dir):
+    return ev.residual_errors(ev.correction_cases(_noisy(spark, sf_dir, "non_word"), bigram_model(spark, sf_dir), ["item_id"], real_words=False))
+
+
+# Live checker ------------------------------------------------------------------------------------------------------
+
+
+@kept
+def conversation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", tk.words(F.col("text")).alias("tokens"))
+    return settle(rows.where(F.size("tokens") > 0), "conversations")
+
+
+@kept
+def stream_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as passages of merged tokens; a turn is a sentence."""
+    rows = cr.merge_tokens(conversation_sentences(spark, sf_dir), ["conv_id", "turn"])
+    at = F.row_number().over(lv.Window.partitionBy("conv_id").orderBy("turn", "token_index")) - 1
+    return settle(rows.withColumn("token_index", at.cast("long")), "stream")
+
+
+_MERGE = r"""
+cs AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?') AS t FROM conversations),
+ps AS (SELECT conv_id, turn, i - 1 AS i, t[i] AS w, len(t) AS n FROM (SELECT conv_id, turn, t, unnest(range(1, len(t) + 1)) AS i FROM cs)),
+hit AS (SELECT *, ('0x' || substr(md5(concat('42|', conv_id, '|', turn, '|', i)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.08 AND i < n - 1 AS hit FROM ps),
+run AS (SELECT *, i - sum(hit::INT) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM hit),
+nth AS (SELECT *, hit AND row_number() OVER (PARTITION BY conv_id, turn, run, hit ORDER BY i) % 2 = 1 AS starts FROM run),
+sec AS (SELECT *, coalesce(lag(starts) OVER s, false) AS second, lead(w) OVER s AS nx FROM nth WINDOW s AS (PARTITION BY conv_id, turn ORDER BY i)),
+mt AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS token_index, lower(CASE WHEN starts THEN concat(w, nx) ELSE w END) AS text, starts AS is_merge FROM sec WHERE NOT second)"""
+
+
+@query(f"WITH {_MERGE} SELECT conv_id, turn, token_index, text, is_merge FROM mt")
+def merge_tokens(spark, sf_dir):
+    return stream_tokens(spark, sf_dir).select("conv_id", "turn", "token_index", "text", "is_merge")
+
+
+@query()
+def sample_passages(spark, sf_dir):
+    rows = corpus.passage_sentences(read(spark, sf_dir, "documents")).select("doc_id", "sent", "sentence")
+    return cr.sample_passages(rows, "doc_id", "sent")
+
+
+_SHORT = ", ".join(f"'{w}'" for w in lv.SHORT_WORDS)
+
+
+@query(f"""WITH {_SENTS}, {_MERGE}, tx AS (SELECT DISTINCT text FROM mt WHERE len(text) >= 4),
+ct AS (SELECT text, text IN (SELECT w1 FROM uni) AS known, i, substr(text, 1, i) AS l, substr(text, i + 1) AS r FROM (SELECT text, unnest(range(1, len(text))) AS i FROM tx)),
+ok AS (SELECT * FROM ct WHERE l IN (SELECT w1 FROM uni) AND r IN (SELECT w1 FROM uni) AND (len(l) > 2 OR l IN ({_SHORT})) AND (len(r) > 2 OR r IN ({_SHORT}))
+AND NOT (len(text) >= 8 AND least(len(l), len(r)) < 3 AND l NOT IN ({_SHORT}) AND r NOT IN ({_SHORT})) AND NOT (len(l) <= 2 AND len(r) <= 2 AND NOT known)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY 100 * least(len(l), len(r)) + greatest(len(l), len(r)) DESC, i) AS n FROM ok)
+SELECT text, l AS "left", r AS "right" FROM rk WHERE n = 1""")
+def binary_splits(spark, sf_dir):
+    return lv.binary_splits(stream_tokens(spark, sf_dir), vocabulary(spark, sf_dir))
+
+
+_END = " ".join(f"WHEN ends_with(q, '{e}') AND len(q) > {len(e) + 2} THEN '{e}'" for e in lv.ENDINGS)
+
+
+@query(f"""WITH {_SENTS}{_BENCH}, best AS (SELECT cand.q, max(row(c, -len(w), w))[3] AS s FROM cand JOIN uni ON uni.w1 = w GROUP BY cand.q),
+x AS (SELECT q, s, CASE {_END} END AS e FROM best)
+SELECT q, s, coalesce(s <> q AND len(q) >= 6 AND abs(len(q) - len(s)) <= 1 AND substr(q, 1, 1) = substr(s, 1, 1) AND NOT (len(q) = len(s) AND substr(q, 1, 4) <> substr(s, 1, 4)) AND (e IS NULL OR ends_with(s, e)), false) AS safe FROM x""")
+def safe_suggestions(spark, sf_dir):
+    rows = nonword_correction(spark, sf_dir).where("n_candidates > 0").select("q", F.col("best").alias("s"))
+    return rows.withColumn("safe", F.coalesce(lv.safe_suggestion(F.col("q"), F.col("s"), F.lit(True)), F.lit(False)))
+
+
+@kept
+def live_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = stream_tokens(spark, sf_dir).select("conv_id", "token_index", "turn", "text", "is_merge")
+    return settle(lv.token_records(tokens, ["conv_id", "token_index"], bigram_model(spark, sf_dir), trigram_model(spark, sf_dir), word_hmm(spark, sf_dir)), "records")
+
+
+@query()
+def token_records(spark, sf_dir):
+    return live_records(spark, sf_dir).select("conv_id", "token_index", "original", F.array_join("final_words", " ").alias("final_words"), F.array_join("tags", " ").alias("tags"), "segment_fixed", "spell_fixed")
+
+
+_TRIG = f"""{_MERGE}, tw AS (SELECT conv_id, token_index, text, row_number() OVER (PARTITION BY conv_id ORDER BY token_index) AS cum, count(*) OVER (PARTITION BY conv_id) AS total,
+list(text) OVER (PARTITION BY conv_id ORDER BY token_index ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS win FROM mt),
+fd AS (SELECT conv_id, token_index, cum, cum % 5 <> 0 AS is_last, win, row_number() OVER (PARTITION BY conv_id ORDER BY cum) AS seq FROM tw WHERE (cum % 5 = 0 OR cum = total) AND len(win) >= 2)"""
+
+
+def _plain_records(spark, sf_dir) -> DataFrame:
+    """Records of tokens as they are, without repairs."""
+    return stream_tokens(spark, sf_dir).select("conv_id", "token_index", F.array("text").alias("final_words"))
+
+
+@query(f"WITH {_TRIG} SELECT conv_id, token_index, cum, is_last, array_to_string(win, ' ') AS win, seq FROM fd")
+def grammar_triggers(spark, sf_dir):
+    out = lv.triggers(_plain_records(spark, sf_dir), "conv_id")
+    return out.select("conv_id", "token_index", F.col("cum").cast("long").alias("cum"), "is_last", F.array_join("window", " ").alias("win"), F.col("seq").cast("long").alias("seq"))
+
+
+@query(f"""WITH {_TRIG}, v AS (SELECT conv_id, seq, sum(len(x))::DOUBLE AS pp FROM (SELECT conv_id, seq, unnest(win) AS x FROM fd) GROUP BY ALL),
+m AS (SELECT conv_id, seq, pp, count(pp) OVER h AS history, median(pp) OVER h AS med, mad(pp) OVER h AS md FROM v WINDOW h AS (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, seq, pp, history, round(CASE WHEN history < 2 OR md * 1.4826 < 1e-6 THEN 0 ELSE (pp - med) / (md * 1.4826) END, 6) AS z FROM m""")
+def robust_z(spark, sf_dir):
+    rows = lv.triggers(_plain_records(spark, sf_dir), "conv_id").select("conv_id", F.col("seq").cast("long").alias("seq"), F.aggregate("window", F.lit(0.0), lambda a, w: a + F.length(w)).alias("pp"))
+    return lv.robust_z(rows, "conv_id", "seq", "pp").select("conv_id", "seq", "pp", F.col("history").cast("long").alias("history"), F.round("z", 6).alias("z"))
+
+
+@kept
+def live_alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = live_records(spark, sf_dir)
+    grammar = lv.grammar_alerts(records, "conv_id", bigram_model(spark, sf_dir), add_k_model(spark, sf_dir, 2), add_k_model(spark, sf_dir, 3))
+    return settle(lv.token_alerts(records, ["conv_id"]).unionByName(grammar.drop("value")), "alerts")
+
+
+@query()
+def live_alerts(spark, sf_dir):
+    return live_alert_rows(spark, sf_dir)
+
+
+@query()
+def alert_counts(spark, sf_dir):
+    return lv.alert_counts(live_alert_rows(spark, sf_dir))
+
+
+@query(f"WITH {_MERGE} SELECT cs.conv_id, cs.turn, coalesce(sum(is_merge::INT), 0)::BIGINT AS merges, 0::BIGINT AS spells, coalesce(string_agg(mt.text, ' ' ORDER BY token_index), '') AS text FROM cs LEFT JOIN mt ON mt.conv_id = cs.conv_id AND mt.turn = cs.turn GROUP BY ALL")
+def sentence_rollup(spark, sf_dir):
+    rows = stream_tokens(spark, sf_dir).select("conv_id", "turn", "token_index", F.array("text").alias("final_words"), "is_merge", F.lit(False).alias("spell_fixed"))
+    return lv.sentence_rollup(rows, read(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+
+
+@query("""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL ELSE -length(text)::DOUBLE END AS pcfg_lp, -length(text) / 2.0::DOUBLE AS trigram_lp, -length(text) / 3.0::DOUBLE AS bigram_lp FROM conversations),
+s AS (SELECT *, avg(pcfg_lp) OVER w AS m, stddev_pop(pcfg_lp) OVER w AS sd FROM p WINDOW w AS (PARTITION BY conv_id))
+SELECT conv_id, turn, CASE WHEN pcfg_lp IS NOT NULL AND (sd = 0 OR m - pcfg_lp <= 2.5 * sd) THEN 'pcfg' ELSE 'trigram' END AS "method",
+CASE WHEN pcfg_lp IS NOT NULL AND (sd = 0 OR m - pcfg_lp <= 2.5 * sd) THEN 'grammatical' WHEN trigram_lp > -80 THEN 'plausible' ELSE 'implausible' END AS verdict FROM s""")
+def decide_method(spark, sf_dir):
+    n = F.length("text").cast("double")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, -n).alias("pcfg_lp"), (-n / 2.0).alias("trigram_lp"), (-n / 3.0).alias("bigram_lp"))
+    return lv.decide_method(rows, "conv_id").select("conv_id", "turn", "method", "verdict")
+
+
+# Grammar and sources -----------------------------------------------------------------------------------------------
+
+_TAGS = sorted(gr.tag_table()) + ["VB-HL", "NN+BEZ", "XYZ", "PPS+BEZ-TL"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(t.replace("'", "''"), (gr.tag_table().get(t) or gr.tag_table().get(t.split("-")[0].split("+")[0], "NN")).replace("'", "''")) for t in _TAGS) + ") AS x(tag, ptb)")
+def reconcile_tags(spark, sf_dir):
+    return spark.createDataFrame([(t,) for t in _TAGS], "tag string").select("tag", gr.reconcile(F.col("tag")).alias("ptb"))
+
+
+@query("SELECT * FROM (VALUES (0, 0, 'la', 'DET-Fem-Sg'), (0, 1, 'casa', 'NOUN-Fem-Sg'), (0, 2, 'es', 'AUX-Sg'), (1, 0, 'gatos', 'NOUN-Masc-Pl'), (1, 1, 'comen', 'VERB-Pl'), (1, 2, '.', 'PUNCT')) AS x(sent, pos, form, morph)")
+def conllu_morph(spark, sf_dir):
+    read(spark, sf_dir, "documents")
+    rows = parse_conllu(spark.createDataFrame([("fixture", CONLLU)], "path string, value string"))
+    return rows.select(F.col("sent").cast("int").alias("sent"), F.col("pos").cast("int").alias("pos"), "form", tg.morph_tag(F.col("upos"), F.col("feats")).alias("morph"))
+
+
+@query()
+def pcfg_induce(spark, sf_dir):
+    read(spark, sf_dir, "documents")
+    return gr.induce(spark.createDataFrame([(t,) for t in TREEBANK], "tree string"))
+
+
+@query()
+def pcfg_parse(spark, sf_dir):
+    sents = spark.createDataFrame([(0, "the dog saw the cat".split()), (1, "a zebra sleeps".split()), (2, "saw the".split()), (3, [])], "id int, words array<string>")
+    return gr.parse(sents, pcfg_induce(spark, sf_dir), ["id"])
+
+
+@query()
+def passage_report(spark, sf_dir):
+    """The end-of-passage table of every conversation: a line per turn."""
+    records = live_records(spark, sf_dir)
+    rolled = lv.sentence_rollup(records, conversation_sentences(spark, sf_dir), ["conv_id", "turn"])
+    rows = settle(rolled.withColumn("tokens", F.filter(F.split("text", " "), lambda w: w != "")).withColumn("words", F.col("tokens")), "rolled")
+    rows = rows.where(F.size("tokens") > 0)
+    parsed = gr.parse(rows, pcfg_induce(spark, sf_dir), ["conv_id", "turn"])
+    for n, name in ((2, "bigram_lp"), (3, "trigram_lp")):
+        plain = rows.select("conv_id", "turn", tk.plain_tokens(F.col("tokens")).alias("tokens"))
+        parsed = parsed.join(lm.sentence_scores(plain, add_k_model(spark, sf_dir, n), tk.BOS, tk.EOS, 0.01, ["conv_id", "turn"]).select("conv_id", "turn", F.col("log_prob").alias(name)), ["conv_id", "turn"], "left")
+    decided = lv.decide_method(rows.select("conv_id", "turn", "text", "merges", "spells").join(parsed, ["conv_id", "turn"]), "conv_id")
+    decided = decided.withColumn("n", F.col("turn").cast("int") + 1).withColumn("pcfg", pcfg_cell(F.col("pcfg_lp"), F.col("status"))).na.fill(0.0, ["bigram_lp", "trigram_lp"])
+    return decided.select("conv_id", "turn", "method", "verdict", "merges", "spells", report_line().alias("line"))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: tokens to counts to a delete index to the best correction of each misspelling."""
+    return nonword_correction(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
