@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words kept by a worker, about 90 MB; beyond it the table starts anew.
-KEPT = 400_000
+#: Words kept by a worker, about 60 MB; beyond it the table starts anew.
+KEPT = 250_000
 
 
 class _Hashes(dict):
