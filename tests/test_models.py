@@ -142,3 +142,16 @@ def test_save_and_load(spark, model, tmp_path):
 def test_empty_corpus(spark):
     m = lm.train_bigram(spark.createDataFrame([], "id int, tokens array<string>"))
     assert (m.total, m.vocab, m.ngram.count()) == (0, 0, 0) and math.isfinite(m.total)
+
+
+def test_sweep_equals_single_runs(spark, sents, model):
+    from textloom.operators import evaluate as ev
+
+    rows = [(1, "the dog sat on the mat".split(), 1, "dog", "dg"), (2, "i would like to see the world".split(), 4, "see", "she"), (3, "the cat and the dog and the fox".split(), 7, "fox", "fix")]
+    cases = spark.createDataFrame([(i, t, p, o, c, [*t[:p], c, *t[p + 1 :]]) for i, t, p, o, c in rows], "id int, tokens array<string>, pos int, original string, corrupted string, noisy array<string>")
+    swept = {r["config"]: r for r in ev.threshold_sweep(cases, model, ["id"], (0.1, 5)).collect()}
+    for t in (0.1, 5):
+        one = ev.accuracy_of(ev.correction_cases(cases, model, ["id"], co.CorrectorConfig(method="B", threshold=float(t)))).first()
+        assert all(one[c] == swept[str(t)][c] for c in (*ev.OUTCOMES, "n", "accuracy"))
+    alarms = ev.false_alarms(cases, model, ["id"], co.CorrectorConfig(threshold=1e9)).first()
+    assert (alarms["sentences"], alarms["words"], alarms["real_word"], alarms["per_word"]) == (3, 21, 0, 0.0)

@@ -167,10 +167,11 @@ def reachable(tokens: DataFrame, model: NgramModel, config: CorrectorConfig) ->
     }
 
 
-def correct_token_arrays(sents: DataFrame, model: NgramModel, ids: list[str], config: CorrectorConfig = CorrectorConfig(), real_words: bool = True) -> DataFrame:
-    """One row per change: the ids, pos (from 0), original, corrected, kind and gain."""
+def correct_token_arrays(sents: DataFrame, model: NgramModel, ids: list[str], config: CorrectorConfig = CorrectorConfig(), real_words: bool = True, part: dict | None = None) -> DataFrame:
+    """One row per change: the ids, pos (from 0), original, corrected, kind and gain. ``part``: the reachable part of
+    the model, if it is known already."""
     spark = sents.sparkSession
-    part = spark.sparkContext.broadcast(reachable(sents, model, config))
+    part = spark.sparkContext.broadcast(part or reachable(sents, model, config))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sents.select(*ids).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.candidates import by_enumeration, by_index, delete_index
-from textloom.operators.correct import CorrectorConfig, apply_changes, correct_token_arrays
+from textloom.operators.correct import CorrectorConfig, Fold, apply_changes, correct_token_arrays, reachable
 from textloom.operators.lm import NgramModel
 from textloom.session import settle
 
+OUTCOMES = ("target_correct", "untouched", "wrong", "sentence_exact", "collateral")
+
 
 def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
@@ -56,22 +61,25 @@ def error_sources(gold: DataFrame, predicted: DataFrame, ids: list[str]) -> Data
     return out.withColumn("segmentation_share", F.when(errors > 0, F.col("segmentation_errors") / errors)).withColumn("genuine_share", F.when(errors > 0, F.col("genuine_errors") / errors))
 
 
-def correction_cases(cases: DataFrame, model: NgramModel, ids: list[str], config: CorrectorConfig = CorrectorConfig(), real_words: bool = True) -> DataFrame:
+def correction_cases(cases: DataFrame, model: NgramModel, ids: list[str], config: CorrectorConfig = CorrectorConfig(), real_words: bool = True, part: dict | None = None) -> DataFrame:
     """The fold over noisy sentences (ids, tokens, noisy, pos, original, corrupted), with the outcome per case."""
     noisy = settle(cases.withColumnRenamed("tokens", "gold").withColumnRenamed("noisy", "tokens"), "cases")
-    changes = settle(correct_token_arrays(noisy, model, ids, config, real_words), "changes")
+    changes = settle(correct_token_arrays(noisy, model, ids, config, real_words, part), "changes")
     out = apply_changes(noisy, changes, ids).withColumn("got", F.element_at("fixed", F.col("pos") + 1))
     others = F.exists(F.zip_with("gold", F.transform("fixed", lambda w, i: F.when(i == F.col("pos"), F.lit(None)).otherwise(w)), lambda g, w: w.isNotNull() & (g != w)), lambda x: x)
     return out.withColumn("target_correct", F.col("got") == F.col("original")).withColumn("untouched", F.col("got") == F.col("corrupted")).withColumn("wrong", ~F.col("target_correct") & ~F.col("untouched")) \
         .withColumn("sentence_exact", F.col("fixed") == F.col("gold")).withColumn("collateral", others)
 
 
-def accuracy_of(cases: DataFrame) -> DataFrame:
-    flags = ("target_correct", "untouched", "wrong", "sentence_exact", "collateral")
-    out = cases.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in flags])
+def _accuracy(cases) -> DataFrame:
+    out = cases.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in OUTCOMES])
     return out.withColumn("accuracy", ratio(F.col("target_correct"), F.col("n")))
 
 
+def accuracy_of(cases: DataFrame) -> DataFrame:
+    return _accuracy(cases)
+
+
 def false_alarms(sents: DataFrame, model: NgramModel, ids: list[str], config: CorrectorConfig = CorrectorConfig()) -> DataFrame:
     """Changes to clean sentences: counts by kind, sentences touched, rates per word and per sentence."""
     changes = settle(correct_token_arrays(sents, model, ids, config), "alarms")
@@ -83,12 +91,27 @@ def false_alarms(sents: DataFrame, model: NgramModel, ids: list[str], config: Co
 
 
 def sweep(cases: DataFrame, model: NgramModel, ids: list[str], configs: dict[str, CorrectorConfig]) -> DataFrame:
-    """Accuracy per configuration; each is a fold of its own, as the corrected left context depends on it."""
-    parts = [accuracy_of(correction_cases(cases, model, ids, c)).select(F.lit(name).alias("config"), "*") for name, c in configs.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Accuracy per configuration, in one pass over the cases. Each configuration is a fold of its own, as the corrected
+    left context depends on it; the part of the model that the cases reach is the same for all."""
+    part = cases.sparkSession.sparkContext.broadcast(reachable(cases.select(F.col("noisy").alias("tokens")), model, next(iter(configs.values()))))
+
+    def outcome(fold: Fold, gold: list[str], noisy: list[str], pos: int, original: str, corrupted: str) -> tuple:
+        got = list(noisy)
+        for i, _, fixed, _, _ in fold.run(noisy):
+            got[i] = fixed
+        right, same = got[pos] == original, got[pos] == corrupted
+        return right, same, not right and not same, got == gold, any(g != w for i, (g, w) in enumerate(zip(gold, got, strict=True)) if i != pos)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds = {name: Fold(part.value, c) for name, c in configs.items()}
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for name, fold in folds.items():
+                flags = list(zip(*(outcome(fold, *r) for r in rows), strict=True)) or [()] * len(OUTCOMES)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(f, pa.bool_()) for f in flags)], ["config", *OUTCOMES])
+
+    made = cases.select("tokens", "noisy", "pos", "original", "corrupted").mapInArrow(run, "config string, " + ", ".join(f"{c} boolean" for c in OUTCOMES))
+    return _accuracy(made.groupBy("config"))
 
 
 def threshold_sweep(cases: DataFrame, model: NgramModel, ids: list[str], thresholds=(1, 2, 3, 4, 5, 6, 8, 10)) -> DataFrame:

@@ -644,9 +644,14 @@ def merge_tokens(spark, sf_dir):
     return stream_tokens(spark, sf_dir).select("conv_id", "turn", "token_index", "text", "is_merge")
 
 
-@query()
+_U = "('0x' || substr(md5(concat('42|', doc_id, '|{}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"""WITH {_SENTS}, ps AS (SELECT doc_id, sent, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY sent) - 1 AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM raw WHERE len(raw) >= 4),
+sz AS (SELECT *, least(5 + floor({_U.format('n')} * 4), n) AS size, {_U.format('at')} AS u FROM ps)
+SELECT doc_id, sent, sentence FROM sz WHERE r >= floor(u * (n - size + 1)) AND r < floor(u * (n - size + 1)) + size""")
 def sample_passages(spark, sf_dir):
-    rows = corpus.passage_sentences(read(spark, sf_dir, "documents")).select("doc_id", "sent", "sentence")
+    rows = corpus.passage_sentences(read(spark, sf_dir, "documents")).select("doc_id", F.col("sent").cast("long").alias("sent"), "sentence")
     return cr.sample_passages(rows, "doc_id", "sent")
 
 
