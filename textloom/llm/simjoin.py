@@ -114,11 +114,12 @@ def _around_centres(groups: DataFrame, full_sets: Callable[[DataFrame], DataFram
     most = listed.groupBy("h").agg(F.max("room").alias("most"))
     outside = listed.join(most, "h").where("g + gs > 0 AND room >= gs AND g <= most")
     places = (F.size("xs") - F.ceil((F.col("g") + F.col("gs")) / unit) + 1).cast("int")
-    probe = outside.where(places > 0).select("h", F.col("id").alias("a"), F.col("g").alias("ga"), F.col("room").alias("ra"), F.explode(F.slice("xs", 1, places)).alias("x"))
-    probe = probe.select("h", "a", "ga", "ra", "x.d", "x.s")
-    other = listed.where("room > -gs").select("h", F.col("id").alias("b"), F.col("g").alias("gb"), F.col("room").alias("rb"), F.explode("xs").alias("x"))
-    other = other.select("h", "b", "gb", "rb", "x.d", "x.s")
-    pairs = probe.join(other, ["h", "d", "s"]).where("a <> b AND gb <= ra AND ga <= rb")
+    probe = outside.where(places > 0).select("h", F.col("id").alias("a"), F.col("g").alias("ga"), F.col("room").alias("ra"), F.size("xs").alias("k"), F.posexplode(F.slice("xs", 1, places)).alias("i", "x"))
+    probe = probe.select("h", "a", "ga", "ra", (F.col("k") - F.col("i")).alias("la"), "x.d", "x.s")
+    other = listed.where("room > -gs").select("h", F.col("id").alias("b"), F.col("g").alias("gb"), F.col("room").alias("rb"), F.size("xs").alias("k"), F.posexplode("xs").alias("i", "x"))
+    other = other.select("h", "b", "gb", "rb", (F.col("k") - F.col("i")).alias("lb"), "x.d", "x.s")
+    enough = F.least("la", "lb") * unit >= F.col("ga") + F.col("gb")
+    pairs = probe.join(other, ["h", "d", "s"]).where((F.col("a") != F.col("b")) & (F.col("gb") <= F.col("ra")) & (F.col("ga") <= F.col("rb")) & enough)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     out = settle(sure, "sure"), settle(pairs, "close")
     discard(full, members, centre, first, listed)
