@@ -191,3 +191,26 @@ def test_near_paragraphs_link(spark):
     rows = repeated_passages(frame(spark, [(1, base), (2, " ".join(other))])).collect()
     assert sum(r["n_words"] for r in rows if r["doc_id"] == 2) > 200
     assert repeated_passages(frame(spark, []).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_passages_with_edited_words_are_found(spark, edits):
+    draw = random.Random(20 + edits)
+    size, cases, texts = 51 * edits, 60, []
+    for k in range(cases):
+        passage = [f"p{draw.randint(0, 10**6)}" for _ in range(size)]
+        other = list(passage)
+        for e in range(edits):  # in the middle of equal pieces
+            other[(2 * e + 1) * size // (2 * edits)] = f"e{draw.randint(0, 10**6)}"
+        shingle = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        a, b = shingle(passage), shingle(other)
+        assert 5 * len(a & b) >= 4 * len(a | b)
+        for i, p in ((2 * k, passage), (2 * k + 1, other)):
+            texts.append((i, f"{text(draw, draw.randint(30, 60), 10**6)} {' '.join(p)} {text(draw, draw.randint(30, 60), 10**6)}"))
+    rows = repeated_passages(frame(spark, texts)).collect()
+    assert all(r["keep_doc_id"] // 2 == r["doc_id"] // 2 for r in rows)
+    found = {r["doc_id"] // 2 for r in rows if r["removed"]}
+    print("recall", edits, len(found) / cases)
+    assert len(found) >= 0.95 * cases
+    assert not [r for r in rows if r["removed"] and r["doc_id"] % 2 == 0]
+    assert sum(r["n_words"] for r in rows if r["removed"]) > 0.6 * size * cases
