@@ -14,6 +14,7 @@ from textloom.operators import decode as de
 from textloom.operators import evaluate as ev
 from textloom.operators import grammar as gr
 from textloom.operators import live as lv
+from textloom.operators import lm
 from textloom.operators import tagging as tg
 from textloom.plans.demo import CONLLU, TREEBANK
 from textloom.sources import sinks
@@ -204,3 +205,18 @@ def test_sinks(spark, tmp_path):
     assert row.select(sinks.report_line()).first()[0] == "1   pcfg     grammatical    0   2      -1.3      -2.0 logP=-3.00*      a b"
     marked = spark.createDataFrame([(["thw", "dog"], ["the", "dog"], ["", " ", "!"])], "w array<string>, f array<string>, g array<string>")
     assert marked.select(sinks.highlight(F.col("w"), F.col("f"), F.col("g"))).first()[0] == "**the** dog!"
+
+
+def test_texts_that_reach_more_than_the_bound_are_decoded_in_batches(spark, monkeypatch):
+    draw = random.Random(12)
+    words = ["".join(draw.choice("abc") for _ in range(draw.randint(1, 3))) for _ in range(12)]
+    sents = spark.createDataFrame([([draw.choice(words) for _ in range(6)],) for _ in range(40)], "tokens array<string>")
+    model = lm.train_add_one(sents)
+    hmm = tg.train_hmm(sents.select(F.col("tokens").alias("words"), F.transform("tokens", lambda w: F.when(F.length(w) > 1, "N").otherwise("V")).alias("tags")))
+    texts = spark.createDataFrame([("".join(draw.choice(words) for _ in range(draw.randint(1, 3))),) for _ in range(6)] + [("",), (None,), ("Ab",)], "text string").distinct()
+    key = lambda r: (r["text"], r["words"], r["tags"], r["split"])
+    full = de.reach(texts, model, hmm)
+    want = sorted(map(key, de.decode(texts, full, "joint").collect()))
+    monkeypatch.setattr(de, "REACH_ROWS", len(full.tri) - 1)
+    assert de.reach(texts, model, hmm, limit=de.REACH_ROWS) is None and any(r[1] for r in want)
+    assert sorted(map(key, de.decode_all(texts, model, "joint", hmm).collect())) == want

@@ -155,3 +155,13 @@ def test_sweep_equals_single_runs(spark, sents, model):
         assert all(one[c] == swept[str(t)][c] for c in (*ev.OUTCOMES, "n", "accuracy"))
     alarms = ev.false_alarms(cases, model, ["id"], co.CorrectorConfig(threshold=1e9)).first()
     assert (alarms["sentences"], alarms["words"], alarms["real_word"], alarms["per_word"]) == (3, 21, 0, 0.0)
+
+
+def test_texts_that_reach_more_than_the_bound_are_corrected_in_batches(spark, model, monkeypatch):
+    rows = spark.createDataFrame([(k, t.split()) for k, t in enumerate(["thw dogg sat", "the cst", "a se of wrds", "", "she si here"])], "id int, tokens array<string>")
+    config = co.CorrectorConfig()
+    part = co.reachable(rows, model, config)
+    want = sorted(co.correct_token_arrays(rows, model, ["id"], config, part=part).collect())
+    monkeypatch.setattr(co, "FOLD_ROWS", max(len(part["bigram"]), len(part["unigram"])) - 1)
+    assert co.reachable(rows, model, config, co.FOLD_ROWS) is None and want
+    assert sorted(co.correct_token_arrays(rows, model, ["id"], config).collect()) == want

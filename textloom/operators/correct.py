@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.tokens import BOS, EOS, NUM, match_case, words
 from textloom.operators.candidates import by_index, candidates, delete_index
 from textloom.operators.lm import NgramModel, add_k, interpolated, look_up, unigram_add_k
-from textloom.session import settle, small
+from textloom.session import in_batches, settle, small
 
 
 @dataclass(frozen=True)
@@ -133,13 +135,14 @@ class Fold:
         return changes
 
 
-#: Rows of each table that the fold's tasks may hold; it is asked for a bounded batch of texts.
+#: Rows of each table that the fold's tasks may hold; texts that reach more are corrected in batches.
 FOLD_ROWS = 3_000_000
 
 
-def reachable(tokens: DataFrame, model: NgramModel, config: CorrectorConfig) -> dict:
+def reachable(tokens: DataFrame, model: NgramModel, config: CorrectorConfig, limit: int | None = None) -> dict | None:
     """The part of the model that correcting these token arrays can ask for: candidates of their words, and counts of
-    those and of their pairs. Found by joins; its size, checked, follows the batch's vocabulary and not the corpus."""
+    those and of their pairs. Found by joins; its size follows the batch's vocabulary and not the corpus, and is counted
+    first: with over ``limit`` rows of a table it is not given."""
     asked = settle(tokens.select(F.explode("tokens").alias("q")).distinct(), "asked")
     words_of = model.vocabulary()
     found = settle(by_index(asked, delete_index(words_of)), "reach")
@@ -148,8 +151,8 @@ def reachable(tokens: DataFrame, model: NgramModel, config: CorrectorConfig) ->
     pairs = model.ngram.join(small(reach.union(reach.sparkSession.createDataFrame([(BOS,), (EOS,)], "w string")).withColumnRenamed("w", "w1")), "w1", "left_semi")
     pairs = pairs.join(small(reach.union(reach.sparkSession.createDataFrame([(BOS,), (EOS,)], "w string")).withColumnRenamed("w", "w2")), "w2", "left_semi")
     pairs = settle(pairs.select("w1", "w2", "c"), "pairs")
-    if max(pairs.count(), found.count(), reach.count()) > FOLD_ROWS:
-        raise ValueError(f"the batch reaches over {FOLD_ROWS} model rows; correct it in smaller batches")
+    if limit is not None and max(pairs.count(), found.count(), reach.count()) > limit:
+        return None
     unseen = asked.join(known, "q", "left_anti")
     options: dict[str, list[str]] = {}
     for r in found.collect():
@@ -170,8 +173,26 @@ def reachable(tokens: DataFrame, model: NgramModel, config: CorrectorConfig) ->
 def correct_token_arrays(sents: DataFrame, model: NgramModel, ids: list[str], config: CorrectorConfig = CorrectorConfig(), real_words: bool = True, part: dict | None = None) -> DataFrame:
     """One row per change: the ids, pos (from 0), original, corrected, kind and gain. ``part``: the reachable part of
     the model, if it is known already."""
-    spark = sents.sparkSession
-    part = spark.sparkContext.broadcast(part or reachable(sents, model, config))
+    context, out = sents.sparkSession.sparkContext, []
+    if part:
+        return _folded(sents, context.broadcast(part), ids, config, real_words)
+    for batch, found, whole in fold_batches(sents.select(*ids, "tokens"), model, config):
+        shared = context.broadcast(found)
+        done = _folded(batch, shared, ids, config, real_words)
+        if not whole:
+            done = settle(done, "folded")
+            shared.destroy()
+        out.append(done)
+    return reduce(DataFrame.union, out)
+
+
+def fold_batches(rows: DataFrame, model: NgramModel, config: CorrectorConfig, tokens: str = "tokens") -> Iterator[tuple[DataFrame, dict, bool]]:
+    """Batches of rows (all at once, if they reach at most FOLD_ROWS rows of a table) with the part of the model that
+    they reach, and whether it is the only batch. A row's sequence is folded whole, so batches change no result."""
+    return in_batches(rows, F.col(tokens), lambda batch, last: reachable(batch.select(F.col(tokens).alias("tokens")), model, config, None if last else FOLD_ROWS))
+
+
+def _folded(sents: DataFrame, part: Broadcast, ids: list[str], config: CorrectorConfig, real_words: bool) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sents.select(*ids).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

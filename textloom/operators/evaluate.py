@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.candidates import by_enumeration, by_index, delete_index
-from textloom.operators.correct import CorrectorConfig, Fold, apply_changes, correct_token_arrays, reachable
+from textloom.operators.correct import CorrectorConfig, Fold, apply_changes, correct_token_arrays, fold_batches
 from textloom.operators.lm import NgramModel
 from textloom.session import settle
 
@@ -93,7 +95,6 @@ def false_alarms(sents: DataFrame, model: NgramModel, ids: list[str], config: Co
 def sweep(cases: DataFrame, model: NgramModel, ids: list[str], configs: dict[str, CorrectorConfig]) -> DataFrame:
     """Accuracy per configuration, in one pass over the cases. Each configuration is a fold of its own, as the corrected
     left context depends on it; the part of the model that the cases reach is the same for all."""
-    part = cases.sparkSession.sparkContext.broadcast(reachable(cases.select(F.col("noisy").alias("tokens")), model, next(iter(configs.values()))))
 
     def outcome(fold: Fold, gold: list[str], noisy: list[str], pos: int, original: str, corrupted: str) -> tuple:
         got = list(noisy)
@@ -102,16 +103,26 @@ def sweep(cases: DataFrame, model: NgramModel, ids: list[str], configs: dict[str
         right, same = got[pos] == original, got[pos] == corrupted
         return right, same, not right and not same, got == gold, any(g != w for i, (g, w) in enumerate(zip(gold, got, strict=True)) if i != pos)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folds = {name: Fold(part.value, c) for name, c in configs.items()}
-        for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for name, fold in folds.items():
-                flags = list(zip(*(outcome(fold, *r) for r in rows), strict=True)) or [()] * len(OUTCOMES)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(f, pa.bool_()) for f in flags)], ["config", *OUTCOMES])
-
-    made = cases.select("tokens", "noisy", "pos", "original", "corrupted").mapInArrow(run, "config string, " + ", ".join(f"{c} boolean" for c in OUTCOMES))
-    return _accuracy(made.groupBy("config"))
+    def with_part(part: Broadcast) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            folds = {name: Fold(part.value, c) for name, c in configs.items()}
+            for batch in batches:
+                rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+                for name, fold in folds.items():
+                    flags = list(zip(*(outcome(fold, *r) for r in rows), strict=True)) or [()] * len(OUTCOMES)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(f, pa.bool_()) for f in flags)], ["config", *OUTCOMES])
+
+        return run
+
+    rows, out = cases.select("tokens", "noisy", "pos", "original", "corrupted"), []
+    for batch, found, whole in fold_batches(rows, model, next(iter(configs.values())), "noisy"):
+        part = cases.sparkSession.sparkContext.broadcast(found)
+        made = batch.mapInArrow(with_part(part), "config string, " + ", ".join(f"{c} boolean" for c in OUTCOMES))
+        if not whole:
+            made = settle(made, "outcomes")
+            part.destroy()
+        out.append(made)
+    return _accuracy(reduce(DataFrame.union, out).groupBy("config"))
 
 
 def threshold_sweep(cases: DataFrame, model: NgramModel, ids: list[str], thresholds=(1, 2, 3, 4, 5, 6, 8, 10)) -> DataFrame:

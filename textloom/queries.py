@@ -419,19 +419,19 @@ FROM r LEFT JOIN vocab v ON len(v.w) <= 20 AND starts_with(r.rest, v.w) WHERE r.
 @query(f"WITH RECURSIVE {_SENTS}{_BENCH}{_GLUED} SELECT text, words FROM r WHERE rest = ''")
 def greedy_segment(spark, sf_dir):
     texts = glued(spark, sf_dir).select("text").distinct()
-    return de.decode(texts, de.reach(texts, trigram_model(spark, sf_dir)), "greedy").select("text", F.array_join("words", " ").alias("words"))
+    return de.decode_all(texts, trigram_model(spark, sf_dir), "greedy").select("text", F.array_join("words", " ").alias("words"))
 
 
 @query()
 def viterbi_segment(spark, sf_dir):
     texts = glued(spark, sf_dir).select("text").distinct()
-    return de.decode(texts, de.reach(texts, trigram_model(spark, sf_dir)), "viterbi").select("text", F.array_join("words", " ").alias("words"))
+    return de.decode_all(texts, trigram_model(spark, sf_dir), "viterbi").select("text", F.array_join("words", " ").alias("words"))
 
 
 @query()
 def segmentation_accuracy(spark, sf_dir):
     texts = glued(spark, sf_dir)
-    out = de.decode(texts, de.reach(texts, trigram_model(spark, sf_dir)), "viterbi").select("text", "words")
+    out = de.decode_all(texts, trigram_model(spark, sf_dir), "viterbi").select("text", "words")
     return ev.exact_match(texts.join(out, "text"), F.col("gold"), F.col("words"))
 
 
@@ -445,14 +445,14 @@ def word_hmm(spark: SparkSession, sf_dir: str) -> tg.HmmModel:
 @query()
 def joint_beam(spark, sf_dir):
     texts = glued(spark, sf_dir).select("text").distinct()
-    out = de.decode(texts, de.reach(texts, trigram_model(spark, sf_dir), word_hmm(spark, sf_dir)), "joint")
+    out = de.decode_all(texts, trigram_model(spark, sf_dir), "joint", word_hmm(spark, sf_dir))
     return out.select("text", F.array_join("words", " ").alias("words"), F.array_join("tags", " ").alias("tags"))
 
 
 @query()
 def should_split(spark, sf_dir):
     texts = bench_tokens(spark, sf_dir).select(F.explode("tokens").alias("text")).distinct()
-    out = de.decode(texts, de.reach(texts, trigram_model(spark, sf_dir), word_hmm(spark, sf_dir)), "split")
+    out = de.decode_all(texts, trigram_model(spark, sf_dir), "split", word_hmm(spark, sf_dir))
     return out.select("text", "split", F.array_join("words", " ").alias("words"), F.array_join("tags", " ").alias("tags"))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,3 +46,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """Marks a settled table for broadcast if it was counted to have at most ``rows`` rows."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def in_batches(rows: DataFrame, by: Column, load: Callable[[DataFrame, bool], Any]) -> Iterator[tuple[DataFrame, Any, bool]]:
+    """(batch, what it needs, whether it is the only one). ``load(batch, last)`` gives None for a batch that needs too
+    much; it is halved then by a hash of ``by``. With ``last``, for rows that agree in ``by``, it has to give it."""
+    found = load(rows, False)
+    if found is not None:
+        yield rows, found, True
+        return
+    rows = settle(rows, "batches")
+    todo = [(1, 0), (1, 1)]
+    while todo:
+        bits, rest = todo.pop()
+        batch = rows.where(F.pmod(F.xxhash64(by), F.lit(1 << bits)) == rest)
+        last = bits >= 62 or batch.select(by).distinct().limit(2).count() < 2
+        found = load(batch, last)
+        if found is None:
+            todo += [(bits + 1, rest), (bits + 1, rest + (1 << bits))]
+        else:
+            yield batch, found, False
