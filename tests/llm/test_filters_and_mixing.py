@@ -162,3 +162,13 @@ def test_queries_against_sql(spark, name):
     flat = lambda v: f"{v:.9g}" if isinstance(v, float) else v
     mine = sorted((tuple(flat(r[c]) for c in columns) for r in got.collect()), key=repr)
     assert mine == sorted((tuple(flat(r[i]) for i in at) for r in want.fetchall()), key=repr)
+
+
+def test_large_classes_are_ranked_by_id_too(spark, monkeypatch):
+    draw = random.Random(9)
+    ids = draw.sample(range(10_000), 90)
+    docs = spark.createDataFrame([(i, "s", " ".join(["w"] * draw.choice([3, 3, 3, 5]))) for i in ids], "doc_id long, source string, text string")
+    rows = lambda: sorted((r["doc_id"], r["copies"]) for r in mixing.mix(docs).collect())
+    want = rows()
+    monkeypatch.setattr(mixing, "CLASS_ROWS", 7)
+    assert rows() == want

@@ -36,6 +36,16 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), tot
     return t.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap")).alias("target"))
 
 
+def _bounds(rows: DataFrame, split: DataFrame, id_col: str) -> DataFrame:
+    """(__key, size, __bounds) of the classes in ``split``: the ids at which parts after the first begin, in order."""
+    wide = split.agg(F.sum("__parts")).first()[0] or 1
+    ids = look_up(rows.select("__key", "size", F.col(id_col).alias("__id")), split, ["__key", "size"], F.xxhash64("__id"), "inner")
+    ids = ids.repartitionByRange(int(wide), "__key", "size", "__id").select("__key", "size", "__id", F.spark_partition_id().alias("__at"))
+    first = ids.groupBy("__key", "size", "__at").agg(F.min("__id").alias("__id"))
+    bounds = first.groupBy("__key", "size").agg(F.sort_array(F.collect_list("__id")).alias("b"))
+    return settle(bounds.select("__key", "size", F.expr("slice(b, 2, greatest(size(b) - 1, 0))").alias("__bounds")), "bounds")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None,
         weights: tuple[float, ...] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: int = 7,
         carry: list[str] | None = None) -> DataFrame:
@@ -45,8 +55,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     order of size (then id), shifted by one random offset per source, and a document is emitted once per integer it
     crosses. Sorted by size, neighbours differ little, so the words taken miss the target by about one long document.
     The prefix sum is distributed: classes (source, size, part) are counted, running sums over classes give each class
-    its start, and a window ranks within a class, of which none exceeds about CLASS_ROWS rows; a hot source is thus
-    spread over its sizes, and a hot size over parts. The offset is a hash of ``seed`` and source: reruns agree.
+    its start, and a window ranks within a class, of about CLASS_ROWS rows; a hot source is thus
+    spread over its sizes, and a hot size over parts, ranges of ids, which keep that order. The offset is a hash of ``seed`` and source: reruns agree.
 
     ``carry``: of the input columns only these stay; the narrow rows are written once, so texts are read once. Without
     it, whole rows go through one shuffle.
@@ -64,7 +74,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     whole = settle(rows.groupBy("__key", "size").agg(F.count(F.lit(1)).alias("n")), "classes")
     whole = whole.withColumn("__parts", F.ceil(F.col("n") / CLASS_ROWS).cast("int"))
     split = settle(whole.where("__parts > 1").select("__key", "size", "__parts"), "split")
-    rows = look_up(rows, split, ["__key", "size"], mark).withColumn("__part", F.pmod(mark, F.coalesce("__parts", F.lit(1))).cast("int"))
+    bounds = _bounds(rows, split, id_col)
+    rows = look_up(rows, bounds, ["__key", "size"], mark)
+    rows = rows.withColumn("__part", F.coalesce(F.size(F.filter("__bounds", lambda b: b <= F.col(id_col))), F.lit(0)))
+    rows = rows.withColumn("__parts", F.when(F.col("__bounds").isNotNull(), F.lit(2)).otherwise(F.lit(1))).drop("__bounds")
     parts = rows.where("__parts > 1").groupBy("__key", "size", "__part").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.unionByName(whole.where("__parts = 1").select("__key", "size", F.lit(0).alias("__part"), "n"))
     before = Window.partitionBy("__key").orderBy("size", "__part").rowsBetween(Window.unboundedPreceding, -1)
