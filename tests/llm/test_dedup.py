@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 
 import pytest
@@ -214,3 +215,10 @@ def test_passages_with_edited_words_are_found(spark, edits):
     assert len(found) >= 0.95 * cases
     assert not [r for r in rows if r["removed"] and r["doc_id"] % 2 == 0]
     assert sum(r["n_words"] for r in rows if r["removed"]) > 0.6 * size * cases
+
+
+@pytest.mark.parametrize(("num", "den"), [(4, 5), (85, 100)])
+def test_estimate_drops_links_at_the_threshold_as_rarely_as_stated(num, den):
+    p, k = num / den, simjoin.SKETCH
+    dropped = sum(math.comb(k, m) * p**m * (1 - p) ** (k - m) for m in range(k + 1) if m < simjoin.least_estimate(num, den) * k)
+    assert 0 < dropped <= simjoin.MISS

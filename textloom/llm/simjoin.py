@@ -13,12 +13,11 @@ from textloom.llm.components import connected_components
 
 #: Hashes a sketch keeps; the least INDEXED of them generate candidates, all of them estimate.
 SKETCH, INDEXED = 64, 24
-#: A link may be missed with this probability at most, if its similarity is just the threshold.
+#: The inverted lists and the estimate may each miss a link with this probability at most, if its similarity is just the
+#: threshold.
 MISS = 1e-7
 #: Members up to which a list's pairs are made one by one; longer lists go by their centre.
 LIST = 32
-#: Standard errors below the threshold at which an estimate drops a pair.
-ERRORS = 5.0
 
 
 def shared_least(num: int, den: int, indexed: int = INDEXED) -> int:
@@ -35,8 +34,9 @@ def shared_least(num: int, den: int, indexed: int = INDEXED) -> int:
 
 
 def least_estimate(num: int, den: int, sketch: int = SKETCH) -> float:
-    p = num / den
-    return p - ERRORS * math.sqrt(p * (1 - p) / sketch)
+    """The share of the union's ``sketch`` least hashes that two sets with similarity num / den have in common, but for
+    MISS."""
+    return shared_least(num, den, sketch) / sketch
 
 
 def _index(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -130,7 +130,7 @@ def linked(sets: DataFrame, full_sets: Callable[[DataFrame], DataFrame], num: in
     """(id, component) of every id that is linked to another one: size of intersection / size of union >= num / den.
 
     ``sets``: settled table (id, n, sketch), one row per distinct set; sketch holds its SKETCH least hashes in order.
-    ``full_sets``: from a table of ids to (id, items). Components are exact but for MISS per link.
+    ``full_sets``: from a table of ids to (id, items). Components are exact but for twice MISS per link.
 
     An inverted list of n sets has n^2 pairs, so they are not made. First each list's least id stands for the list and
     its members are verified against it, n pairs; what links forms components. A list whose members all lie in one
