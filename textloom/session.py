@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
@@ -12,13 +14,39 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A table is broadcast only if it was counted and takes at most so many bytes, by the widths of its columns.
+BROADCAST_BYTES = 24_000_000
+#: Spark removes the shuffle files of a scratch table as soon as it is written, if this is set meanwhile.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_shipped: set[str] = set()
+
+
+def _local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it was found."""
-    root = str(Path(__file__).resolve().parents[1])
-    known = spark.sparkContext.environment
+    """Lets Python workers import this package: by its path, and on a cluster by a zip file that Spark ships."""
+    package = Path(__file__).resolve().parent
+    root, known = str(package.parent), spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH", "")]))
+    app = spark.sparkContext.applicationId
+    if _local(spark) or app in _shipped:
+        return
+    _shipped.add(app)
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent).as_posix())
+    path = f"{scratch(spark)}/{package.name}.zip"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        stream.write(bytearray(data.getvalue()))
+    finally:
+        stream.close()
+    spark.sparkContext.addPyFile(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,25 +55,68 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests."""
+    """spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, and a cluster an error: its
+    executors share no local folder."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not _local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
         base = context.getCheckpointDir()
     return base.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/textloom/{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again, so that it is computed once."""
-    path = f"{shared_folder(df.sparkSession)}/textloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a table to the shared folder and reads it again: lineage ends here, so a lost executor costs no
+    recomputation of what stands before. Its shuffle files go as soon as it is written."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    try:
+        spark.conf.set(_CLEAN, "true")
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if not files:
+            continue
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fits(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether a settled table is small enough for a broadcast; it is counted. ``limit`` replaces the bound in rows."""
+    if limit is None:
+        width = 16 + sum({"long": 8, "bigint": 8, "int": 8, "double": 8, "boolean": 8}.get(kind, 48) for _, kind in df.dtypes)
+        limit = BROADCAST_BYTES // width
+    return df.count() <= limit
 
 
-def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """Marks a settled table for broadcast if it was counted to have at most ``rows`` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Marks a settled table for broadcast if it is counted to be small enough."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def in_batches(rows: DataFrame, by: Column, load: Callable[[DataFrame, bool], Any]) -> Iterator[tuple[DataFrame, Any, bool]]:
