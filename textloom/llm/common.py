@@ -1,39 +1,21 @@
-"""What the corpus operators share: word splitting, scratch tables, and joins that survive hot keys."""
+"""What the corpus operators share: word splitting, column helpers, and joins that survive hot keys."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import discard, fits, prepare, read, scratch, settle, small
+
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "fits", "look_up", "prepare", "read", "scratch", "settle", "small", "without", "word_count"]
+
 #: A word is a run of anything but ASCII white space. ``bytes.split()`` splits at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: A table is broadcast only when it was counted and has at most this many (narrow) rows.
-BROADCAST_ROWS = 400_000
-#: Copies that the one-row-per-key side gets in a salted join; a hot key is spread over as many tasks.
-SALTS = 32
-
-
-def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it was found, if they would not anyway."""
-    root = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment
-    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
-        known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH", "")]))
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
 
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty. Texts in ASCII take the JVM's byte-wise path."""
@@ -45,46 +27,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in tests, where it is unset, one of our own."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
-        base = context.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends here, and a lost executor costs no
-    recomputation of what stands before."""
-    path = f"{scratch(df.sparkSession)}/textloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes settled tables that nothing reads any more."""
-    for df in tables:
-        files = df.inputFiles()
-        if not files:
-            continue
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drops input columns that carry the name of a result column; the operator's own result takes the name."""
     names = {n.lower() for n in names}
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
 
 
-def look_up(df: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins a settled table that has one row per key. A counted small table is broadcast; beyond ``limit`` rows both
-    sides are salted, so that rows of one hot key go to SALTS tasks. ``spread`` is a hash of what differs within a key."""
-    if table.count() <= limit:
-        return df.join(F.broadcast(table), keys, how)
-    salted = df.withColumn("__salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
+def look_up(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left", limit: int | None = None) -> DataFrame:
+    """Joins a settled table that has one row per key: by broadcast if it is counted to be small, else by shuffle. There
+    adaptive execution splits the rows of a hot key over several tasks and gives each the key's one row; ``df`` has to
+    come to the join without an aggregation by the same keys, as it does in this package."""
+    return df.join(small(table, limit), keys, how)

@@ -12,7 +12,7 @@ MAX_ROUNDS = 60
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in ``links`` (a, b); component is the least id reachable. Null ends are left out,
+    """Settled (id, component) of every id in ``links`` (a, b); component is the least id reachable. Null ends are left out,
     links of an id to itself and repeated links are harmless; without links the result is empty.
 
     Alternates two rewritings until links no longer change: large stars tie an id's larger neighbours to its least
@@ -41,4 +41,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         was = now
     else:
         raise RuntimeError("components did not settle")
-    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    ends = stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    out = settle(ends, "components")
+    discard(stars)
+    return out
