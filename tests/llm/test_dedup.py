@@ -64,7 +64,7 @@ def test_exact_dedup_against_brute_force(spark, limit):
     draw = random.Random(1)
     base = [text(draw, draw.randint(0, 30)) for _ in range(30)]
     texts = [(i, draw.choice(base)) for i in range(120)] + [(500, None), (501, ""), (502, "É x"), (503, "é x"), (504, "É X"), (None, "lonely"), (505, " " * 9), (506, "y" * 100_000), (507, "Y" * 100_000)]
-    got = exact.exact_dedup(frame(spark, texts), hash_all=True, broadcast_rows=limit).collect()
+    got = exact.exact_dedup(frame(spark, texts), hash_all=True, limit=limit).collect()
     groups = {}
     for i, t in texts:
         groups.setdefault(lower(t), []).append(i)
@@ -145,7 +145,54 @@ def test_repeated_rows_of_one_document(spark):
 
 def test_shared_least_is_safe():
     assert 1 <= simjoin.shared_least(4, 5) < simjoin.shared_least(85, 100) < simjoin.INDEXED
-    assert bands_for(4, 5) == 3
+    assert bands_for() == 3
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_rows_that_repeat_an_id_keep_all_their_links(spark, limit):
+    draw = random.Random(3)
+    a, b = text(draw, 80, 9000), text(draw, 80, 9000)
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, text(draw, 50, 9000)), (4, text(draw, 50, 9000)), (None, a)]
+    for order in (rows, rows[::-1]):
+        got = near_components(frame(spark, order), limit=limit).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+        assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
+
+
+def test_joins_beyond_the_broadcast_bound_give_the_same(spark):
+    texts = near_texts(77)
+    want = sorted(map(tuple, near_components(frame(spark, texts)).collect()), key=str)
+    assert sorted(map(tuple, near_components(frame(spark, texts), limit=0).collect()), key=str) == want
+    passages = sorted(map(tuple, repeated_passages(frame(spark, texts)).collect()))
+    assert passages == sorted(map(tuple, repeated_passages(frame(spark, texts), limit=0).collect())) and passages
+
+
+def test_work_in_a_crowd_grows_about_as_its_size(spark, monkeypatch):
+    made = {}
+
+    def settle(df, name, plain=simjoin.settle):
+        out = plain(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simjoin, "settle", settle)
+    counts = []
+    for n in (400, 1600):
+        draw = random.Random(1)
+        base, texts = [f"w{i}" for i in range(100)], []
+        for i in range(n):
+            words = list(base)
+            for p in draw.sample(range(100), draw.randint(1, 6)):
+                words[p] = f"e{draw.randint(0, 10**6)}"
+            texts.append((i, " ".join(words)))
+        made.clear()
+        got = {r["doc_id"]: r["component_id"] for r in near_components(frame(spark, texts), 3, 85, 100).collect()}
+        if n == 400:
+            assert got == {i: c for i, (_, c) in brute_components(texts, 3, 85, 100).items()}
+        counts.append(dict(made))
+    for name in ("merged", "shared", "mixed-items", "stand-ins"):
+        assert counts[1][name] <= 4 * 1.5 * max(counts[0][name], 100), (name, counts)
+    assert counts[1]["close"] <= 1600
 
 
 def test_long_text_shingles_whole():
@@ -156,7 +203,7 @@ def test_long_text_shingles_whole():
 def test_paragraphs_do_not_depend_on_place():
     draw = random.Random(2)
     passage = text(draw, 60, 5000)
-    keys = [set(paragraphs(f"{text(draw, 90, 5000)} {passage} {text(draw, 40, 5000)}", 3)[2].tolist()) for _ in range(2)]
+    keys = [set(paragraphs(f"{text(draw, 90, 5000)} {passage} {text(draw, 40, 5000)}", 3)[1].tolist()) for _ in range(2)]
     assert keys[0] & keys[1]
 
 
