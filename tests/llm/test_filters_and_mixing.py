@@ -90,11 +90,10 @@ def corpus(spark, seed=1):
     return spark.createDataFrame(rows, "doc_id long, source string, text string")
 
 
-@pytest.mark.parametrize("class_rows", [1_000, 20])
-def test_mix_meets_targets(spark, monkeypatch, class_rows):
-    monkeypatch.setattr(mixing, "CLASS_ROWS", class_rows)
+@pytest.mark.parametrize("limit", [None, 0])
+def test_mix_meets_targets(spark, limit):
     docs = corpus(spark).withColumn("Size", F.lit("clash")).withColumn("n", F.lit(1))
-    rows = mixing.mix(docs).collect()
+    rows = mixing.mix(docs, limit=limit).collect()
     again = mixing.mix(docs.repartition(7)).collect()
     key = lambda r: (str(r["doc_id"]), r["text"] or "", r["copies"])
     assert sorted(map(key, rows)) == sorted(map(key, again)) and len(rows) == docs.count()
@@ -164,11 +163,16 @@ def test_queries_against_sql(spark, name):
     assert mine == sorted((tuple(flat(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
-def test_large_classes_are_ranked_by_id_too(spark, monkeypatch):
+def test_rows_of_one_size_are_ranked_by_id_in_any_number_of_tasks(spark):
     draw = random.Random(9)
     ids = draw.sample(range(10_000), 90)
     docs = spark.createDataFrame([(i, "s", " ".join(["w"] * draw.choice([3, 3, 3, 5]))) for i in ids], "doc_id long, source string, text string")
     rows = lambda: sorted((r["doc_id"], r["copies"]) for r in mixing.mix(docs).collect())
     want = rows()
-    monkeypatch.setattr(mixing, "CLASS_ROWS", 7)
-    assert rows() == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert rows() == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import BROADCAST_ROWS, look_up, settle, without, word_count
+from textloom.llm.common import discard, settle, small, without, word_count
 
-#: Rows of one (source, size) that one task ranks; larger classes are split.
-CLASS_ROWS = 1_000
 RESULT = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -16,86 +14,92 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
+def _in_order(df: DataFrame, columns: list, name: str) -> DataFrame:
+    """Settles the rows dealt out by ranges of ``columns``, with __task and __at: the task, in order, and the row's place
+    in it. A range is one task's, so a source, or a size in it, however frequent, is spread over tasks."""
+    ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("__at", F.monotonically_increasing_id())
+    return settle(ranged.withColumn("__task", F.shiftright("__at", 33).cast("int")), name)
+
+
+def _before(rows: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Per task (and ``by``): the sums over all tasks before it, and __first, its first place. One row per task and key
+    goes to the window."""
+    each = rows.groupBy("__task", *by).agg(F.min("__at").alias("__first"), *[c.alias(n) for n, c in sums.items()])
+    over = Window.partitionBy(*by).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    return settle(each.select("__task", *by, "__first", *[F.coalesce(F.sum(n).over(over), F.lit(0)).alias(n) for n in sums]), "before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float = 1.5, most: float = 2.0) -> DataFrame:
     """Targets of sources, from (source, source_size), one row per source.
 
     Sources in code point order, null last, get ``weights`` in turn and share ``total`` times all sizes; a target stops
     at ``most`` times its source's size, and the excess is shared by weight among the others until none is above. That
     end point is one level L with target = min(cap, weight * L): sources sorted by cap / weight fill up one after
-    another, so L follows from running sums. The windows run over one row per source, not over documents.
+    another, so L follows from running sums. Order and sums are distributed; one row, with L, comes to the driver.
+
+    A source of size 0 gets target 0. Repeated sources are not expected: sizes are per source. Empty table: no rows.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    t = sizes.withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    t = t.withColumn("ratio", F.col("cap") / F.col("weight"))
-    every, fill = Window.partitionBy(), Window.orderBy("ratio", F.col("source").isNull(), "source")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("level", (F.lit(float(total)) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-                     / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(every)["level"])
-    return t.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap")).alias("target"))
-
-
-def _bounds(rows: DataFrame, split: DataFrame, id_col: str) -> DataFrame:
-    """(__key, size, __bounds) of the classes in ``split``: the ids at which parts after the first begin, in order."""
-    wide = split.agg(F.sum("__parts")).first()[0] or 1
-    ids = look_up(rows.select("__key", "size", F.col(id_col).alias("__id")), split, ["__key", "size"], F.xxhash64("__id"), "inner")
-    ids = ids.repartitionByRange(int(wide), "__key", "size", "__id").select("__key", "size", "__id", F.spark_partition_id().alias("__at"))
-    first = ids.groupBy("__key", "size", "__at").agg(F.min("__id").alias("__id"))
-    bounds = first.groupBy("__key", "size").agg(F.sort_array(F.collect_list("__id")).alias("b"))
-    return settle(bounds.select("__key", "size", F.expr("slice(b, 2, greatest(size(b) - 1, 0))").alias("__bounds")), "bounds")
+    named = _in_order(sizes.withColumn("__null", F.col("source").isNull()), ["__null", "source"], "sources")
+    before = _before(named, [], {"__n": F.count(F.lit(1))})
+    rank = F.col("__n") + F.col("__at") - F.col("__first")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    t = named.join(small(before), "__task").withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
+    t = t.select("source", "__null", "source_size", "weight", "cap", (F.col("cap") / F.col("weight")).alias("ratio"))
+    t = _in_order(t, ["ratio", "__null", "source"], "filling")
+    all_size, all_weight = t.agg(F.sum("source_size"), F.sum("weight")).first()
+    before_t = _before(t, [], {"__c": F.sum("cap"), "__w": F.sum("weight")})
+    over = Window.partitionBy("__task").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    cap, share = (F.col(n) + F.coalesce(F.sum(c).over(over), F.lit(0.0)) for n, c in (("__c", "cap"), ("__w", "weight")))
+    level = (F.lit(float(total) * (all_size or 0)) - cap) / (F.lit(all_weight or 0.0) - share)
+    found = t.join(small(before_t), "__task").select("ratio", level.alias("level")).where("level <= ratio").agg(F.min(F.struct("ratio", "level")).alias("x")).first()["x"]
+    target = F.col("cap") if found is None else F.least("cap", F.col("weight") * F.lit(float(found["level"])))
+    out = settle(t.select("source", "source_size", target.alias("target")), "targets")
+    discard(named, before, t, before_t)
+    return out
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None,
         weights: tuple[float, ...] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: int = 7,
-        carry: list[str] | None = None) -> DataFrame:
+        carry: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Adds size, source_size, target, copies and taken to every row; ``copies`` says how often the mix takes it.
 
     Within a source every document expects target / source_size copies. The prefix sum of these runs over documents in
     order of size (then id), shifted by one random offset per source, and a document is emitted once per integer it
     crosses. Sorted by size, neighbours differ little, so the words taken miss the target by about one long document.
-    The prefix sum is distributed: classes (source, size, part) are counted, running sums over classes give each class
-    its start, and a window ranks within a class, of about CLASS_ROWS rows; a hot source is thus
-    spread over its sizes, and a hot size over parts, ranges of ids, which keep that order. The offset is a hash of ``seed`` and source: reruns agree.
+    The prefix sum is distributed: rows are dealt out by ranges of (source, size, id), each row knows its place in its
+    task, and per task and source the rows of earlier tasks are added; a hot source or size thus spans many tasks. The
+    offset is a hash of ``seed`` and source: reruns agree.
 
     ``carry``: of the input columns only these stay; the narrow rows are written once, so texts are read once. Without
     it, whole rows go through one shuffle.
     ``size`` defaults to the words of column text. Null source: a source of its own, last. Null or empty text: size 0,
-    still sampled. Rows that repeat an id are separate rows. Empty table: empty result. Input columns named like a
-    result column are replaced.
+    still sampled. Null id: before the others of its source and size. Rows that repeat an id are separate rows, in order
+    of a hash of the whole row; equal rows are interchangeable. Empty table: empty result. Input columns named like a
+    result column are replaced. ``limit`` replaces the bound of broadcasts, in rows.
     """
     size = word_count(F.col("text")) if size is None else size
-    rows = docs.withColumn("__size", size)
+    rows = docs.withColumn("__size", size).withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     if carry is not None:
-        rows = settle(rows.select(*carry, "__size"), "sizes")
-    rows = without(rows, RESULT).withColumnRenamed("__size", "size")
-    rows = rows.withColumn("__key", _key(F.col(source_col)))
-    mark = F.xxhash64(id_col)
-    whole = settle(rows.groupBy("__key", "size").agg(F.count(F.lit(1)).alias("n")), "classes")
-    whole = whole.withColumn("__parts", F.ceil(F.col("n") / CLASS_ROWS).cast("int"))
-    split = settle(whole.where("__parts > 1").select("__key", "size", "__parts"), "split")
-    bounds = _bounds(rows, split, id_col)
-    rows = look_up(rows, bounds, ["__key", "size"], mark)
-    rows = rows.withColumn("__part", F.coalesce(F.size(F.filter("__bounds", lambda b: b <= F.col(id_col))), F.lit(0)))
-    rows = rows.withColumn("__parts", F.when(F.col("__bounds").isNotNull(), F.lit(2)).otherwise(F.lit(1))).drop("__bounds")
-    parts = rows.where("__parts > 1").groupBy("__key", "size", "__part").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.unionByName(whole.where("__parts = 1").select("__key", "size", F.lit(0).alias("__part"), "n"))
-    before = Window.partitionBy("__key").orderBy("size", "__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.withColumn("__start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    sources = whole.groupBy("__key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    sources = sources.withColumn("source", F.when(F.col("__key") != "n", F.expr("substr(__key, 2)")))
-    targets = source_targets(sources.select("source", "source_size"), weights, total, most).withColumn("__key", _key(F.col("source"))).drop("source")
-    starts = settle(starts.join(targets, "__key"), "starts")
-    few = starts.count() <= BROADCAST_ROWS  # else a plain join: no key has more than about CLASS_ROWS rows
-    rows = rows.drop("__parts").join(F.broadcast(starts) if few else starts, ["__key", "size", "__part"])
-    rank = F.col("__start") + F.row_number().over(Window.partitionBy("__key", "size", "__part").orderBy(id_col))
+        rows = settle(rows.select(*carry, "__size", "__tie"), "sizes")
+    rows = without(rows, RESULT).withColumnRenamed("__size", "size").withColumn("__key", _key(F.col(source_col)))
+    ranged = _in_order(rows, ["__key", "size", id_col, "__tie"], "ranged")
+    sources = ranged.groupBy("__key").agg(F.sum("size").alias("source_size"))
+    sources = settle(sources.select(F.when(F.col("__key") != "n", F.expr("substr(__key, 2)")).alias("source"), "source_size"), "source-sizes")
+    targets = source_targets(sources, weights, total, most)
+    before = _before(ranged, ["__key"], {"__n": F.count(F.lit(1))})
+    starts = before.join(small(targets.select(_key(F.col("source")).alias("__key"), "source_size", "target"), limit), "__key")
+    starts = settle(starts, "starts")
+    rank = F.col("__n") + F.col("__at") - F.col("__first") + 1
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "__key")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     each = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     crossed = F.floor(each * F.col("__rank") + offset) - F.floor(each * (F.col("__rank") - 1) + offset)
-    out = rows.withColumn("__rank", rank).withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("__key", "__part", "__start", "__rank")
+    out = ranged.join(small(starts, limit), ["__task", "__key"]).withColumn("__rank", rank)
+    out = out.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    discard(sources, targets, before, *([rows] if carry is not None else []))
+    return out.drop("__key", "__task", "__at", "__first", "__n", "__tie", "__rank")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
-    """Each row as often as the mix takes it."""
+    """Each row as often as the mix takes it; rows it does not take, or whose copies are null, go. Nulls, ties and
+    repeated rows are kept as they are; an empty table gives an empty one."""
     return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("__copy")
