@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import BROADCAST_ROWS, settle
+from textloom.llm.common import discard, settle, small
 from textloom.llm.line_rules import SYMBOLS, repeated_words
 
 FEATURES, GAMMA, RIDGE, SEED = 256, 0.05, 1.0, 11
@@ -116,13 +116,12 @@ class QualityModel:
         return np.clip(np.interp(self.raw(stats), self.knots, self.values), 0, 1)
 
 
-def train_quality(stats: DataFrame, labels: DataFrame, where: Column, label: str = "quality") -> QualityModel:
+def train_quality(stats: DataFrame, labels: DataFrame, where: Column, label: str = "quality", limit: int | None = None) -> QualityModel:
     """Fits on all label rows that fulfil ``where`` (null labels and ids are left out, of a repeated id one label
     counts). Three quarters of them, by a hash of doc_id, give the normal equations; the rest calibrate. Only sums
     come to the driver: means, one matrix of fixed size, counts of BINS bins. Without rows every score is a half."""
     known = settle(labels.where(where & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y")), "labels")
-    right = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    rows = settle(stats.join(right, "doc_id"), "training")
+    rows = settle(stats.join(small(known, limit), "doc_id"), "training")
     held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE_MOD)) == 0
     fit, rest = rows.where(~held), rows.where(held)
     d = len(statistics(""))
@@ -153,6 +152,7 @@ def train_quality(stats: DataFrame, labels: DataFrame, where: Column, label: str
         model.values = isotonic(weights[full], sums[full])
     elif not first[0]:
         model.values = np.array([0.5, 0.5])
+    discard(known, rows)
     return model
 
 

@@ -69,7 +69,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{scratch(spark)}/textloom/tokens-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/tokens-{uuid.uuid4().hex}"
     manifest = write_store(read(spark, sf_dir, "documents"), folder)
     return read_store(spark, folder, manifest)
 
