@@ -78,6 +78,7 @@ def padded(tokens: Column, left: list[str], right: list[str]) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """The runs of n tokens as structs w1..wn; none if there are fewer."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(*[F.element_at(tokens, (i + k).cast("int")).alias(f"w{k + 1}") for k in range(n)]))
+    """The runs of n tokens as structs w1..wn; none if there are fewer. ``tokens`` should be a plain column: the token
+    arrays shifted by 0..n-1 are zipped, so an expression would be evaluated once per shift."""
+    most = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    return F.arrays_zip(*[F.slice(tokens, F.lit(k + 1), most).alias(f"w{k + 1}") for k in range(n)])
