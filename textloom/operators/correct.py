@@ -64,7 +64,7 @@ def correct_real_words(triples: DataFrame, model: NgramModel, config: CorrectorC
     triples = settle(triples.select("prev", "w", "nxt").distinct(), "triples")
     asked = triples.where(F.length("w") >= config.min_length)
     if config.protect_top:
-        asked = asked.join(F.broadcast(protected_words(model, config.protect_top)), "w", "left_anti")
+        asked = asked.join(small(settle(protected_words(model, config.protect_top), "protected")), "w", "left_anti")
     found = candidates(asked.select(F.col("w").alias("q")), model.vocabulary(), config.method)
     options = asked.join(found.select(F.col("q").alias("w"), F.col("w").alias("x")), "w")
     every = settle(options.unionByName(asked.withColumn("x", F.col("w"))), "options")

@@ -406,7 +406,8 @@ def glued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of four benchmark words put together, with the words as gold."""
     rows = bench_tokens(spark, sf_dir).select("item_id", F.explode(tk.ngrams(F.col("tokens"), 4)).alias("g"))
     rows = rows.select(F.array("g.w1", "g.w2", "g.w3", "g.w4").alias("gold")).distinct()
-    return settle(rows.select("gold", F.array_join("gold", "").alias("text")).dropDuplicates(["text"]), "glued")
+    rows = rows.groupBy(F.array_join("gold", "").alias("text")).agg(F.min("gold").alias("gold"))  # of several cuts the least
+    return settle(rows.select("gold", "text"), "glued")
 
 
 _GLUED = """,

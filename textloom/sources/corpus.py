@@ -32,7 +32,9 @@ def event_sentences(events: DataFrame) -> DataFrame:
 def read_treebank(spark: SparkSession, path: str, max_trees: int | None = None) -> DataFrame:
     """(tree): one bracketed tree per line; the first ``max_trees`` of them."""
     trees = spark.read.text(path).select(F.trim("value").alias("tree")).where("tree <> ''")
-    return trees.limit(max_trees) if max_trees is not None else trees
+    if max_trees is None:
+        return trees
+    return trees.withColumn("at", F.monotonically_increasing_id()).orderBy("at").limit(max_trees).drop("at")
 
 
 def save_ngrams(model: NgramModel, folder: str) -> None:
