@@ -131,7 +131,7 @@ def test_reconcile(spark):
     tags = {"VB-HL": "VB", "PPS+BEZ": "PRP", "NN$": "NN", "??": "NN", "BEDZ": "VBD", ".": "."}
     df = spark.createDataFrame([(t,) for t in tags], "t string")
     assert {r["t"]: r["p"] for r in df.select("t", gr.reconcile(F.col("t")).alias("p")).collect()} == tags
-    assert len(gr.tag_table()) == 88
+    assert len(gr.TAG_MAP) == 88
 
 
 def test_grammar_sums_to_one_and_parses(spark):

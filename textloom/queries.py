@@ -750,10 +750,10 @@ def decide_method(spark, sf_dir):
 
 # Grammar and sources -----------------------------------------------------------------------------------------------
 
-_TAGS = sorted(gr.tag_table()) + ["VB-HL", "NN+BEZ", "XYZ", "PPS+BEZ-TL"]
+_TAGS = sorted(gr.TAG_MAP) + ["VB-HL", "NN+BEZ", "XYZ", "PPS+BEZ-TL"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(t.replace("'", "''"), (gr.tag_table().get(t) or gr.tag_table().get(t.split("-")[0].split("+")[0], "NN")).replace("'", "''")) for t in _TAGS) + ") AS x(tag, ptb)")
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(t.replace("'", "''"), (gr.TAG_MAP.get(t) or gr.TAG_MAP.get(t.split("-")[0].split("+")[0], "NN")).replace("'", "''")) for t in _TAGS) + ") AS x(tag, ptb)")
 def reconcile_tags(spark, sf_dir):
     return spark.createDataFrame([(t,) for t in _TAGS], "tag string").select("tag", gr.reconcile(F.col("tag")).alias("ptb"))
 
