@@ -35,14 +35,26 @@ def sequential_split(rows: DataFrame, order: str, ratio: float = 0.8) -> DataFra
 
 
 def shuffled_split(rows: DataFrame, key: str, test_ratio: float = 0.1, seed: int = 42) -> DataFrame:
-    """Adds split: the round(ratio n) rows with the least draws are the test set; only their bound is looked for."""
-    n = round(rows.count() * test_ratio)
+    """Adds split: the round(ratio n) rows with the least draws, equal ones by the key, are the test set; rows of the key
+    at the bound stay together.
+
+    Rows are counted by the first four digits of their draws, 65,536 counts at most. Only the rows whose draws begin
+    like the bound are put in order to find it."""
     drawn = rows.withColumn("__d", draw(seed, F.col(key)))
+    first = F.substring("__d", 1, 4)
+    counts = sorted((r["first"], r["count"]) for r in drawn.groupBy(first.alias("first")).count().collect())
+    n, below = round(sum(c for _, c in counts) * test_ratio), 0
     if not n:
         return rows.withColumn("split", F.lit("train"))
-    chosen = small(settle(drawn.select("__d", key).orderBy("__d", key).limit(n).select(F.col(key).alias("__k")), "test-keys"))
-    out = drawn.join(chosen, F.col(key) == F.col("__k"), "left")
-    return out.withColumn("split", F.when(F.col("__k").isNotNull(), "test").otherwise("train")).drop("__d", "__k")
+    for digits, count in counts:
+        if below + count >= n:
+            break
+        below += count
+    pairs = drawn.where(first == digits).select(F.struct("__d", F.col(key).alias("k")).alias("s"))
+    last = pairs.orderBy("s").limit(n - below).agg(F.max("s")).first()[0]
+    upto = F.col(key).isNull() if last["k"] is None else F.coalesce(F.col(key) <= F.lit(last["k"]), F.lit(True))
+    chosen = (F.col("__d") < last["__d"]) | ((F.col("__d") == last["__d"]) & upto)
+    return drawn.withColumn("split", F.when(chosen, "test").otherwise("train")).drop("__d")
 
 
 def corrupt(words: DataFrame, vocabulary: DataFrame, into_words: bool, seed: int = 7) -> DataFrame:
@@ -98,3 +110,15 @@ def merge_tokens(sents: DataFrame, ids: list[str], p: float = 0.08, seed: int =
     index = F.row_number().over(own) - 1
     gold = F.when(F.col("starts"), F.array("w", "next")).otherwise(F.array("w"))
     return rows.withColumn("token_index", index).select(*ids, "token_index", F.lower(F.array_join(gold, "")).alias("text"), F.transform(gold, lambda w: F.lower(w)).alias("gold_words"), F.col("starts").alias("is_merge"))
+
+
+def passage_texts(tokens: DataFrame, sents: DataFrame, passage: str, sent: str) -> DataFrame:
+    """(passage, plain_text, gold_text): the stream's tokens as they are, and the sentences' words as they should be,
+    each joined by spaces in order. A passage without tokens has an empty plain text."""
+    def joined(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+        parts = rows.groupBy(passage).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), value.alias("v")))).alias("l"))
+        return parts.select(passage, F.array_join(F.transform("l", lambda x: x["v"]), " ").alias(name))
+
+    plain = joined(tokens, "token_index", F.col("text"), "plain_text")
+    gold = joined(sents.where(F.size("tokens") > 0), sent, F.array_join("tokens", " "), "gold_text")
+    return gold.join(plain, passage, "left").na.fill("", ["plain_text"]).select(passage, "plain_text", "gold_text")

@@ -13,8 +13,8 @@ from textloom.session import settle, small
 
 def sentences_of(tagged: DataFrame, ids: list[str], order: list[str]) -> DataFrame:
     """Arrays of words and tags per sentence from one row per token."""
-    rows = tagged.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct(*order, "word", "tag"))).alias("s"))
-    return rows.select(*ids, F.transform("s", lambda x: F.lower(x["word"])).alias("words"), F.transform("s", lambda x: x["tag"]).alias("tags"))
+    rows = tagged.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct(*order, "word", "tag"))).alias("__s"))
+    return rows.select(*ids, F.transform("__s", lambda x: F.lower(x["word"])).alias("words"), F.transform("__s", lambda x: x["tag"]).alias("tags"))
 
 
 @dataclass(frozen=True)

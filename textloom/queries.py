@@ -19,6 +19,7 @@ from textloom.operators import grammar as gr
 from textloom.operators import live as lv
 from textloom.operators import lm
 from textloom.operators import tagging as tg
+from textloom.plans.bundle import experiment, train_bundle
 from textloom.plans.demo import CONLLU, TREEBANK
 from textloom.session import read, settle
 from textloom.sources import corpus
@@ -108,6 +109,13 @@ def add_k_model(spark: SparkSession, sf_dir: str, order: int) -> lm.NgramModel:
     return lm.train_add_k(sentence_tokens(spark, sf_dir), order)
 
 
+@kept
+def normalised_bigram_model(spark: SparkSession, sf_dir: str) -> lm.NgramModel:
+    """Bigrams of sentences split at spaces: words in lower case, and <num> for tokens with a digit."""
+    rows = corpus.document_sentences(read(spark, sf_dir, "documents")).select(tk.normalise_tokens(F.split("sentence", " ")).alias("tokens"))
+    return lm.train_bigram(settle(rows.where(F.size("tokens") > 0), "normalised"))
+
+
 @kept
 def bench_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "benchmark").where("text IS NOT NULL")
@@ -250,6 +258,19 @@ def bigram_add_k(spark, sf_dir):
     return rows.select("w1", "w2", F.round(F.log(lm.add_k(F.col("c"), F.col("c1"), m.vocab, 0.01)), 6).alias("log_p"))
 
 
+@query(f"""WITH {_SENTS}, ns AS (SELECT list_filter(list_transform(string_split(sentence, ' '), lambda w: CASE WHEN regexp_full_match(lower(w), '[a-z]+(?:''[a-z]+)?') THEN lower(w) WHEN regexp_matches(w, '\\p{{Nd}}') THEN '<num>' END), lambda x: x IS NOT NULL) AS t FROM sents),
+np AS (SELECT list_concat(list_concat(['<s>'], t), ['</s>']) AS p FROM ns WHERE len(t) > 0),
+nv AS (SELECT count(DISTINCT w) AS nvocab FROM (SELECT unnest(t) AS w FROM ns) WHERE w <> '<num>'),
+nb AS (SELECT w1, w2, count(*) AS c FROM (SELECT p[i] AS w1, p[i + 1] AS w2 FROM (SELECT p, unnest(range(1, len(p))) AS i FROM np)) GROUP BY w1, w2),
+nc AS (SELECT w1, sum(c) AS c FROM nb GROUP BY w1)
+SELECT nb.w1, w2, nb.c, round(ln((nb.c + 0.01) / (nc.c + 0.01 * (nvocab + 2))), 6) AS log_p FROM nb JOIN nc ON nc.w1 = nb.w1, nv""")
+def bigram_with_numbers(spark, sf_dir):
+    """Counts and add-k log probabilities where <num> is counted but is no word of the vocabulary."""
+    m = normalised_bigram_model(spark, sf_dir)
+    rows = lm.look_up(m.ngram, m.context, ["w1"], "c1")
+    return rows.select("w1", "w2", "c", F.round(F.log(lm.add_k(F.col("c"), F.col("c1"), m.vocab, 0.01)), 6).alias("log_p"))
+
+
 @query(f"WITH {_SENTS}{_BI} SELECT bi.w1, bi.w2, round(ln(0.85::DOUBLE * bi.c / ctx.c + (1 - 0.85::DOUBLE) * (coalesce(uni.c, 0) + 0.5) / (total + 0.5 * (vocab + 2))), 6) AS log_p FROM bi JOIN ctx ON ctx.w1 = bi.w1 LEFT JOIN uni ON uni.w1 = bi.w2, num")
 def bigram_interpolated(spark, sf_dir):
     m = bigram_model(spark, sf_dir)
@@ -508,6 +529,32 @@ def confusion_top(spark, sf_dir):
     return wide.unpivot(["gold"], [c for c in wide.columns if c != "gold"], "pred", "n")
 
 
+_SPLIT = """,
+sp AS (SELECT user_id, row_number() OVER (ORDER BY user_id) <= floor(0.8::DOUBLE * count(*) OVER ()) AS train FROM (SELECT DISTINCT user_id FROM tk)),
+st AS (SELECT tk.*, train FROM tk JOIN sp USING (user_id)),
+se AS (SELECT word, tag, count(*) AS c FROM st WHERE train GROUP BY ALL), sg AS (SELECT tag, sum(c) AS c FROM se GROUP BY tag),
+sm AS (SELECT word, tag AS pred FROM (SELECT word, tag, row_number() OVER (PARTITION BY word ORDER BY n DESC, f) AS r FROM (SELECT word, tag, count(*) AS n, min(row(user_id, ts, event_id)) AS f FROM st WHERE train GROUP BY word, tag)) WHERE r = 1)"""
+
+
+@kept
+def split_bundle(spark: SparkSession, sf_dir: str):
+    """All models, from the first four fifths of the tagged sentences."""
+    return train_bundle(tagged(spark, sf_dir), "user_id", ["ts", "event_id"])
+
+
+@query(f"WITH {_TAGGED}{_SPLIT} SELECT se.word, se.tag, round(ln((se.c + 1) / (sg.c + (SELECT count(DISTINCT word) FROM se))), 6) AS log_p FROM se JOIN sg ON sg.tag = se.tag")
+def split_emission(spark, sf_dir):
+    return tg.emission(split_bundle(spark, sf_dir)[0].hmm).withColumn("log_p", F.round("log_p", 6))
+
+
+@query(f"""WITH {_TAGGED}{_SPLIT} SELECT count(*) AS n, coalesce(sum((tag = coalesce(pred, 'UNKNOWN'))::INT), 0)::BIGINT AS correct,
+round(coalesce(avg((tag = coalesce(pred, 'UNKNOWN'))::INT), 0), 6) AS accuracy FROM st LEFT JOIN sm ON sm.word = st.word WHERE NOT train""")
+def split_accuracy(spark, sf_dir):
+    """The most frequent tags of the training part, on the sentences left out."""
+    out = experiment(*split_bundle(spark, sf_dir), "user_id", ())
+    return out.where("metric = 'tags frequency'").select("n", "correct", F.round("accuracy", 6).alias("accuracy"))
+
+
 @query()
 def viterbi_tags(spark, sf_dir):
     out = de.tag_sentences(tagged_sentences(spark, sf_dir), hmm(spark, sf_dir), ["user_id"])
@@ -572,7 +619,10 @@ def paired_test_set(spark, sf_dir):
     return test_cases(spark, sf_dir).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+@query(f"""WITH {_SENTS}{_BENCH}{_CORRUPT},
+nw AS (SELECT w, arg_min(e, row(md5(concat('7|', w, '|', e)), e)) AS corrupted FROM ed WHERE e <> w AND e <> '' AND e NOT IN (SELECT w1 FROM uni) GROUP BY w),
+mb AS (SELECT concat(item_id, ':', i - 1) AS id, t[i] AS w FROM (SELECT item_id, t, unnest(range(1, len(t) + 1)) AS i FROM b))
+SELECT id, mb.w, corrupted FROM mb JOIN nw ON nw.w = mb.w ORDER BY md5(concat('7|', id, '|', mb.w)), id LIMIT 100""")
 def misspelling_batch(spark, sf_dir):
     words = bench_tokens(spark, sf_dir).select("item_id", F.posexplode("tokens").alias("pos", "w")).select(F.concat_ws(":", "item_id", "pos").alias("id"), "w")
     return cr.misspelling_batch(words, vocabulary(spark, sf_dir), 100)
@@ -640,6 +690,13 @@ sec AS (SELECT *, coalesce(lag(starts) OVER s, false) AS second, lead(w) OVER s
 mt AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS token_index, lower(CASE WHEN starts THEN concat(w, nx) ELSE w END) AS text, starts AS is_merge FROM sec WHERE NOT second)"""
 
 
+@query(f"""WITH {_MERGE}, pl AS (SELECT conv_id, string_agg(text, ' ' ORDER BY token_index) AS plain_text FROM mt GROUP BY conv_id),
+gd AS (SELECT conv_id, string_agg(array_to_string(t, ' '), ' ' ORDER BY turn) AS gold_text FROM cs WHERE len(t) > 0 GROUP BY conv_id)
+SELECT gd.conv_id, coalesce(plain_text, '') AS plain_text, gold_text FROM gd LEFT JOIN pl ON pl.conv_id = gd.conv_id""")
+def passage_texts(spark, sf_dir):
+    return cr.passage_texts(stream_tokens(spark, sf_dir), conversation_sentences(spark, sf_dir), "conv_id", "turn")
+
+
 @query(f"WITH {_MERGE} SELECT conv_id, turn, token_index, text, is_merge FROM mt")
 def merge_tokens(spark, sf_dir):
     return stream_tokens(spark, sf_dir).select("conv_id", "turn", "token_index", "text", "is_merge")

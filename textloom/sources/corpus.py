@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,16 +63,16 @@ def load_hmm(spark: SparkSession, folder: str) -> HmmModel:
     return HmmModel(*(spark.read.parquet(f"{folder}/{name}") for name in ("emit", "tag", "context", "trigram")), n["n_words"], n["n_tags"])
 
 
-def load_or_train(spark: SparkSession, folder: str, config: dict, train) -> NgramModel:
+def load_or_train(spark: SparkSession, folder: str, config: dict, train: Callable[[], Any], save: Callable = save_ngrams, load: Callable = load_ngrams, last: str = "numbers") -> Any:
     """Reads a model that was saved under this configuration, or trains and saves it. The configuration is part of the
-    folder's name, so a change of it trains anew."""
+    folder's name, so a change of it trains anew. ``last`` is the table that ``save`` writes last."""
     key = "-".join(f"{k}={v}" for k, v in sorted(config.items()))
     path = f"{folder.rstrip('/')}/{key}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/numbers/_SUCCESS")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{last}/_SUCCESS")
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return load_ngrams(spark, path)
+        return load(spark, path)
     model = train()
-    save_ngrams(model, path)
+    save(model, path)
     return model
 
 
