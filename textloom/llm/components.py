@@ -11,22 +11,26 @@ from textloom.llm.common import discard, settle
 MAX_ROUNDS = 60
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether distinct links (a, b), b < a, tie every a to one b that is tied to nothing: then b is its component's least."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("tied"), F.lit(0).alias("hub"))
+    ends = ends.unionByName(links.select(F.col("b").alias("id"), F.lit(0).alias("tied"), F.lit(1).alias("hub")))
+    found = ends.groupBy("id").agg(F.sum("tied").alias("tied"), F.max("hub").alias("hub")).where("tied + hub > 1")
+    return not found.limit(1).count()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """Settled (id, component) of every id in ``links`` (a, b); component is the least id reachable. Null ends are left out,
     links of an id to itself and repeated links are harmless; without links the result is empty.
 
-    Alternates two rewritings until links no longer change: large stars tie an id's larger neighbours to its least
+    Alternates two rewritings until every component is a star: large stars tie an id's larger neighbours to its least
     neighbour, small stars tie its smaller neighbours and itself to it. The table never grows; each round is two
     combinable minimum aggregations and joins on an id. A hub's links meet one row per hub, which adaptive execution
     splits. Rounds are written to the shared folder.
     """
-    def shape(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-
     stars = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    was = shape(stars)
     for _ in range(MAX_ROUNDS):
-        if not was[0]:
+        if _are_stars(stars):
             break
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -35,10 +39,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         small = settle(small.where("a <> b").distinct(), "small")
         discard(large, stars)
-        stars, now = small, shape(small)
-        if now == was:
-            break
-        was = now
+        stars = small
     else:
         raise RuntimeError("components did not settle")
     ends = stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
