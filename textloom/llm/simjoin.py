@@ -18,6 +18,9 @@ SKETCH, INDEXED = 64, 24
 MISS = 1e-7
 #: Members up to which a list's pairs are made one by one; longer lists go by their centre.
 LIST = 32
+#: Additions to a group's centre that more than a COMMONth of its members hold come last in the order of their lists; a
+#: group has at most COMMON times as many such items as a member has on average.
+COMMON = 32
 
 
 def shared_least(num: int, den: int, indexed: int = INDEXED) -> int:
@@ -81,7 +84,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, full_sets: Callable[[DataFrame]
 
 
 def _differences(groups: DataFrame, full_sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """Settled (h, id, g, d, a) of the members of groups (h, id): their differences from the group's centre, in order.
+    """Settled (h, id, g, d, a) of the members of groups (h, id): their differences from the group's centre, the
+    rare ones first: what is missing by how many members miss it, additions by their hash, but common ones behind all
+    others, by how many members hold them. So the prefixes that are listed leave out what would make most pairs.
 
     The centre c is what more than half of a group's sets hold. With D(x) = c - x, A(x) = x - c and
     overlap(x, y) = |D(x) & D(y)| + |A(x) & A(y)|, the intersection of x and y is |c| - |D(x)| - |D(y)| + overlap(x, y);
@@ -92,10 +97,13 @@ def _differences(groups: DataFrame, full_sets: Callable[[DataFrame], DataFrame],
     members = settle(groups.join(full, "id"), "members")
     held = members.select("h", F.explode("items").alias("s")).groupBy("h", "s").agg(F.count(F.lit(1)).alias("df"))
     sizes = groups.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-    centre = held.join(sizes, "h").where(F.col("df") * 2 > F.col("size")).groupBy("h").agg(F.collect_list("s").alias("c"))
+    in_order = lambda which, o: F.sort_array(F.collect_list(F.when(which, F.struct(o.alias("o"), "s"))))["s"]
+    most, df = F.col("df") * 2 > F.col("size"), F.col("df")
+    centre = held.join(sizes, "h").where(df * COMMON > F.col("size")).groupBy("h").agg(in_order(most, -df).alias("c"), in_order(~most, df).alias("u"))
     centre = settle(centre, "centres")
-    rows = members.join(centre, "h", "left").withColumn("c", F.coalesce("c", F.array().cast("array<long>")))
-    rows = rows.select("h", "id", F.size("items").alias("n"), F.size("c").alias("nc"), F.array_sort(F.array_except("c", "items")).alias("d"), F.array_sort(F.array_except("items", "c")).alias("a"))
+    rows = members.join(centre, "h", "left").withColumns({k: F.coalesce(k, F.array().cast("array<long>")) for k in ("c", "u")})
+    added = F.concat(F.array_sort(F.array_except(F.array_except("items", "c"), "u")), F.array_intersect("u", "items"))
+    rows = rows.select("h", "id", F.size("items").alias("n"), F.size("c").alias("nc"), F.array_except("c", "items").alias("d"), added.alias("a"))
     rows = rows.withColumn("g", F.lit(2 * num) * F.col("n") - F.lit(num + den) * (F.col("nc") - 2 * F.size("d")))
     out = settle(rows.select("h", "id", "g", "d", "a"), "differences")
     discard(ids, full, members, centre)
