@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm import quality as ql
 from textloom.llm import toxicity as tx
+from textloom.llm import substring_dedup as sd
 from textloom.llm.substring_dedup import LENGTH, repeated_passages, split_words, starts_of
-from textloom.llm.words import word_hashes
+from textloom.llm.words import gram_hashes, word_hashes
 
 
 def plain_ftrl(rows, labels, epochs, seed):
@@ -146,3 +147,57 @@ def test_passages_against_all_pairs(spark):
     assert {(i, at) for i, at, w in spans if exact[tuple(w)] > 1} <= got
     print("recall of all pairs", len(got), len(linked))
     assert len({i for i, _ in got}) >= 0.9 * len({i for i, _ in linked}) and len(got) >= 0.8 * len(linked)
+
+
+def test_links_of_a_long_band_are_all_found(spark):
+    """200 texts share one band; each is within 6 edits of one other, with which it has no further shingle in common."""
+    draw = random.Random(8)
+    word = lambda n: f"v{draw.randint(0, n)}"
+
+    def opening():
+        while True:
+            five = [word(10**6).encode() for _ in range(5)]
+            h = word_hashes(five)
+            if gram_hashes(h, 2)[0] < 2**64 // 2000 and sd._mix(gram_hashes(h, 5), 3)[0] < 2**64 // 1000:
+                return [w.decode() for w in five]
+
+    first, texts, shared = opening(), [], set()
+    while len(texts) < 200:
+        rest = [word(60) for _ in range(27)]
+        copy = list(rest)
+        for place in range(2, 27, 4)[: draw.choice([5, 6])]:
+            copy[place] = "x" + word(10**6)
+        found = [sd.paragraphs(" ".join(t), 3) for t in (first + rest, first + copy)]
+        if all(start.tolist() == [0] for start, _, _ in found) and len(band := shared | {int(m[0, 0]) for _, _, m in found}) == 1:
+            texts, shared = [*texts, first + rest, first + copy], band
+    plain = [" ".join(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * (LENGTH - edits(texts[a], texts[b])) >= 4 * LENGTH:
+                root = [root[b] if r == root[a] else r for r in root]
+    rows = repeated_passages(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")).collect()
+    got: dict = {}
+    for r in rows:
+        got.setdefault(r["cluster_id"], set()).add(r["doc_id"])
+    want: dict = {}
+    for k, r in enumerate(root):
+        want.setdefault(r, set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_texts_hashed_together_or_alone(spark, monkeypatch):
+    """Paragraphs of many texts in a batch are those of each text alone, wherever batches end."""
+    monkeypatch.setattr(sd, "BATCH_WORDS", 3000)
+    monkeypatch.setattr(sd, "LONG_TEXT", 2500)
+    draw = random.Random(9)
+    texts = [None, "", "one"] + [" ".join(f"v{draw.randint(0, 900)}" for _ in range(draw.choice([1, 31, 32, 33, 52, 200, 3000]))) for _ in range(150)] + [""]
+    for length, window in ((32, 20), (32, 40), (6, 3)):
+        got = []
+        for at, h, ends in sd._batches(texts):
+            start = starts_of(h, length, window, ends)
+            key, minima = sd._digests(h, start, 2, length)
+            text = np.searchsorted(ends, start, "right")
+            got += zip(at + text, start - np.concatenate([[0], ends])[text], key, *minima, strict=True)
+        want = [(k, *x) for k, t in enumerate(texts) for s, key, m in [sd.paragraphs(t, 2, length, window)] for x in zip(s, key, *m, strict=True)]
+        assert got == want and len({k for k, *_ in got}) > 50

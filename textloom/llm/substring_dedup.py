@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,10 @@ WORDS, NUM, DEN = 5, 4, 5
 LENGTH, WINDOW = 32, 20
 #: With what probability two paragraphs that differ by one word in the middle collide in a band.
 RECALL = 0.97
-#: Members up to which a band's pairs are made one by one; longer bands are split by further minima.
+#: Members up to which a band's pairs are made one by one; so are those of longer bands that make no more of them a member.
 LIST = 32
-#: Further minima, and how often a band may be split by them.
-FURTHER, DEPTH = 6, 1
+#: Words of one batch of texts, and of a text that is a batch of its own.
+BATCH_WORDS, LONG_TEXT = 2**17, 2**19
 
 
 def bands_for(length: int = LENGTH, recall: float = RECALL, rows: int = 1) -> int:
@@ -55,16 +55,58 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def starts_of(words: np.ndarray, length: int = LENGTH, window: int = WINDOW) -> np.ndarray:
+def _batches(texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, word hashes, ends) of batches of texts: the words of all of them in a row, and where each text ends.
+    Texts are hashed together, as a text alone has too few words to make up for the calls."""
+    at, parts = 0, []
+    for k, text in enumerate(texts):
+        h = word_hashes(split_words(text))
+        if parts and len(h) >= LONG_TEXT:
+            yield at, np.concatenate(parts), np.cumsum([len(p) for p in parts])
+            at, parts = k, []
+        parts.append(h)
+        if len(h) >= LONG_TEXT or len(parts) % 50 == 0 and sum(map(len, parts)) >= BATCH_WORDS:
+            yield at, np.concatenate(parts), np.cumsum([len(p) for p in parts])
+            at, parts = k + 1, []
+    if parts:
+        yield at, np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+
+def starts_of(words: np.ndarray, length: int = LENGTH, window: int = WINDOW, ends: np.ndarray | None = None) -> np.ndarray:
     """First words of a text's paragraphs: the places of the least pair hash (the first of equals) of all windows, as far
-    as a whole paragraph follows. Texts with fewer pairs than a window are one window."""
+    as a whole paragraph follows. Texts with fewer pairs than a window are one window. ``ends``: where each of several
+    texts ends, if the words are those of several; places count from the first one's."""
+    ends = np.array([len(words)]) if ends is None else ends
+    sizes = np.diff(ends, prepend=0)
+    if len(ends) > 1 and window >= length:
+        return np.concatenate([starts_of(words[e - n : e], length, window) + e - n for e, n in zip(ends, sizes, strict=True)])
     if len(words) < length:
         return np.empty(0, np.int64)
     pairs = gram_hashes(words, 2)
     place = np.uint64(2 ** max(20, len(pairs).bit_length()) - 1)
-    least = _sliding_least((pairs & ~place) | np.arange(len(pairs), dtype=np.uint64), min(window, len(pairs))) & place
-    first = least[np.concatenate([[True], least[1:] != least[:-1]])].astype(np.int64)
-    return first[first + length <= len(words)]
+    window = min(window, len(pairs))
+    least = (_sliding_least((pairs & ~place) | np.arange(len(pairs), dtype=np.uint64), window) & place).astype(np.int64)
+    if len(ends) > 1:  # windows and paragraphs lie in one text
+        end = np.repeat(ends, sizes)
+        own = np.flatnonzero(np.arange(len(least)) + window < end[: len(least)])
+        least = least[own]
+        if not len(least):
+            return least
+    first = least[np.concatenate([[True], least[1:] != least[:-1]])]
+    return first[first + length <= (end[first] if len(ends) > 1 else len(words))]
+
+
+def _digests(h: np.ndarray, start: np.ndarray, bands: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Content key and bands of the paragraphs that begin at ``start``."""
+    if not len(start):
+        return np.empty(0, np.int64), np.empty((bands, 0), np.int64)
+    grams = np.append(gram_hashes(h, WORDS), np.uint64(0))  # the last paragraph's end has to be a place
+    edges = np.stack([start, start + length - WORDS + 1], 1).ravel()
+    key = _mix(np.add.reduceat(_mix(grams, 1), edges)[::2], 2).view(np.int64)
+    # neighbours overlap and so share minima; only paragraphs that begin with the same two words can be copies
+    first = gram_hashes(h, 2)[start]
+    minima = [_mix(np.minimum.reduceat(_mix(grams, 3 + b), edges)[::2] ^ first, 50 + b).view(np.int64) for b in range(bands)]
+    return key, np.stack(minima) if minima else np.empty((0, len(start)), np.int64)
 
 
 def paragraphs(text: str | None, bands: int, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,16 +114,7 @@ def paragraphs(text: str | None, bands: int, length: int = LENGTH, window: int =
     paragraphs. A-Z count as a-z."""
     h = word_hashes(split_words(text))
     start = starts_of(h, length, window)
-    if not len(start):
-        return start, np.empty(0, np.int64), np.empty((bands, 0), np.int64)
-    grams = gram_hashes(h, WORDS)
-    edges = np.stack([start, start + length - WORDS + 1], 1).ravel()
-    edges = edges[:-1] if edges[-1] >= len(grams) else edges
-    key = _mix(np.add.reduceat(_mix(grams, 1), edges)[::2], 2).view(np.int64)
-    # neighbours overlap and so share minima; only paragraphs that begin with the same two words can be copies
-    first = gram_hashes(h, 2)[start]
-    minima = np.stack([_mix(np.minimum.reduceat(_mix(grams, 3 + b), edges)[::2] ^ first, 50 + b) for b in range(bands)])
-    return start, key, minima.view(np.int64)
+    return start, *_digests(h, start, bands, length)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, bands: int, length: int, window: int) -> DataFrame:
@@ -90,44 +123,42 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, bands: int, length: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [paragraphs(t, bands, length, window) for t in part.column(1).to_pylist()]
-                take = np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found])
-                minima = np.concatenate([f[2] for f in found], 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(take)), pa.array(np.concatenate([f[0] for f in found]).astype(np.int32)), pa.array(np.concatenate([f[1] for f in found])), *map(pa.array, minima)],
-                    ["doc_id", "start", "key", *names])
+            for at, h, ends in _batches(t.as_py() for t in batch.column(1)):
+                start = starts_of(h, length, window, ends)
+                key, minima = _digests(h, start, bands, length)
+                text = np.searchsorted(ends, start, "right")
+                place = (start - np.concatenate([[0], ends])[text]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + text)), pa.array(place), pa.array(key), *map(pa.array, minima)], ["doc_id", "start", "key", *names])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, start int, key long, " + ", ".join(f"{m} long" for m in names))
 
 
 def _contents(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, length: int, limit: int | None) -> DataFrame:
-    """Settled (key, words, further): the words of each key as hashes, and FURTHER minima of its shingles; read at one
-    place (doc_id, start) of each key. A text is read once, for all keys that are read in it."""
+    """Settled (key, words): the words of each key as hashes, read at one place (doc_id, start) of each key. A text is
+    read once, for all keys that are read in it."""
     asked = settle(places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "key")).alias("at")), "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                keys, words, more = [], [], []
-                for text, spans in zip(*(batch.column(k).slice(at, 200).to_pylist() for k in (0, 1)), strict=True):
-                    h = word_hashes(split_words(text))
-                    for span in spans:
-                        own = h[span["start"] : span["start"] + length]
-                        if len(own) == length:
-                            grams = gram_hashes(own, WORDS)
-                            if int(_mix(np.add.reduce(_mix(grams, 1), keepdims=True), 2).view(np.int64)[0]) == span["key"]:
-                                keys.append(span["key"])
-                                words.append(own.view(np.int64))
-                                more.append(np.array([_mix(grams, 100 + k).min() for k in range(FURTHER)], np.uint64).view(np.int64))
-                flat = lambda rows, n: pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)), n).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), flat(words, length), flat(more, FURTHER)], ["key", "words", "further"])
+            spans = batch.column(1)
+            bounds, flat = spans.offsets.to_numpy(), spans.values
+            starts, wanted = (flat.field(k).to_numpy() for k in ("start", "key"))
+            for at, h, ends in _batches(t.as_py() for t in batch.column(0)):
+                some = slice(bounds[at], bounds[at + len(ends)])
+                text = np.repeat(np.arange(len(ends)), np.diff(bounds[at : at + len(ends) + 1]))
+                place = starts[some] + np.concatenate([[0], ends])[text]
+                inside = place + length <= ends[text]
+                place, key = place[inside].astype(np.int64), wanted[some][inside]
+                # a repeated id may have rows with other texts
+                own = _digests(h, place, 0, length)[0] == key
+                words = h[place[own][:, None] + np.arange(length)].view(np.int64).ravel()
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(words), length).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), lists], ["key", "words"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.join(small(asked, limit), "doc_id").select("text", "at")
-    out = settle(rows.mapInArrow(run, "key long, words array<long>, further array<long>").dropDuplicates(["key"]), "contents")
+    out = settle(rows.mapInArrow(run, "key long, words array<long>").dropDuplicates(["key"]), "contents")
     discard(asked)
     return out
 
@@ -160,36 +191,61 @@ def _verified(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> Data
     return settle(both.mapInArrow(run, "a long, b long"), "verified")
 
 
-def near_keys(index: DataFrame, contents: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(id, component) of the keys linked by an edit distance that leaves num / den of the words alike, among keys that
-    share a band. ``index``: settled (m, key, n), a band's distinct keys and how often each occurs.
+def _by_rare_words(bands: DataFrame, contents: DataFrame, length: int, num: int, den: int) -> DataFrame:
+    """Lists (m, key, n) of a band's keys by the words that are rarest in it: any two keys of a band that an edit distance
+    links are in one of its lists, for certain.
+
+    An edit takes away one word, so linked keys have all but ``length * (den - num) / den`` of their words in common
+    (equal words are told apart by number). In whatever order, then, they share one of the first of each, as many as
+    edits are allowed and one. Words that one key alone holds need no list, but take their places in that order."""
+    edits = length * (den - num) // den
+    ordered = F.array_sort("words")
+    tokens = F.transform(ordered, lambda w, i: F.xxhash64(w, i - F.array_position(ordered, w)))
+    rows = settle(bands.select("m", "key", "n").join(contents, "key").select("m", "key", "n", F.explode(tokens).alias("t")), "tokens")
+    held = rows.groupBy("m", "t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    lists = rows.join(held, ["m", "t"]).groupBy("m", "key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    places = F.greatest(F.lit(edits + 1 - length) + F.size("ts"), F.lit(0))
+    out = settle(lists.select("m", "key", "n", F.explode(F.slice("ts", F.lit(1), places)).alias("x")).select(F.xxhash64("m", "x.t").alias("m"), "key", "n"), "split")
+    discard(rows)
+    return out
+
+
+def near_keys(index: DataFrame, contents: DataFrame, num: int = NUM, den: int = DEN, length: int = LENGTH) -> DataFrame:
+    """(id, component) of all keys linked by an edit distance that leaves num / den of the words alike, among keys that
+    share a band. ``index``: settled (m, key, n), a band's distinct keys and how often each occurs; ``contents``: settled
+    (key, words), ``length`` words each.
 
     A band with n keys has n^2 pairs, so they are not made. The most frequent key stands for its band, and the others
     are verified against it, one row each. A band whose keys then lie in one component is done. Of the others, those of
-    up to LIST keys make all pairs between components; longer ones are split by FURTHER other minima, so that only keys
-    that agree in one of these too stay together, and treated alike. After DEPTH splits what is left makes its pairs.
+    up to LIST keys, or with no more than LIST pairs a key between components, make all pairs between components. Longer
+    ones are split by their rarest words, so that linked keys stay together in a list (see _by_rare_words), and the lists
+    are treated alike; but all that are left then make all pairs between components. So no link within a band is lost.
     """
     components = index.sparkSession.createDataFrame([], "id long, component long")
     links: list[DataFrame] = []
-    for depth in range(DEPTH + 1):
+    for last in (False, True):
         hubs = settle(index.groupBy("m").agg(F.max(F.struct("n", "key"))["key"].alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"), "hubs")
         stars = index.join(hubs, "m").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
         components = _joined(components, [*links, _verified(stars, contents, num, den)])
-        placed = index.join(components.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-        open_ = placed.groupBy("m").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most").select("m", "size")
-        placed = settle(placed.join(open_, "m"), "open")
-        few = placed if depth == DEPTH else placed.where(F.col("size") <= LIST)
-        side = lambda s: few.select("m", F.col("key").alias(s), F.col("c").alias(f"c{s}"))  # noqa: B023, E731
-        pairs = side("a").join(side("b"), "m").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-        links = [_verified(pairs, contents, num, den)]
-        long_ = placed.where(F.col("size") > LIST).select("m", "key", "n")
-        done = depth == DEPTH or not long_.limit(1).count()
+        placed = settle(index.join(components.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component"), "placed")
+        open_ = placed.groupBy("m", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("m").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max(F.struct("k", "c"))["c"].alias("main"))
+        open_ = open_.where("size * size > squares").select("m", "main", ((F.col("size") > LIST) & (F.col("size") * F.col("size") - F.col("squares") > 2 * LIST * F.col("size"))).alias("long"))
+        every, placed = placed, settle(placed.join(open_, "m"), "open")
+        discard(every)
+        few = placed if last else placed.where("NOT long")
+        side = lambda s: few.select("m", F.col("key").alias(s), F.col("c").alias(f"c{s}"), "main")  # noqa: B023, E731
+        # of a pair between components, one at least is not in the main one
+        pairs = side("a").where("ca <> main").drop("main").join(side("b"), "m").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
+        links = [_verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), contents, num, den)]
+        long_ = placed.where("long")
+        done = last or not long_.limit(1).count()
         if not done:
-            split = long_.join(contents.select("key", "further"), "key").select("m", "key", "n", F.posexplode("further").alias("k", "v"))
-            index = settle(split.where(F.col("k") >= depth).select(F.xxhash64("m", "k", "v").alias("m"), "key", "n").distinct(), "split")
+            index = _by_rare_words(long_, contents, length, num, den)
         discard(hubs, placed)
         if done:
             break
+    if last:
+        discard(index)
     return _joined(components, links)
 
 
@@ -242,7 +298,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     index = settle(keyed.select(F.explode("ms").alias("m"), "key", "n"), "index")
     places = settle(keyed.where(F.size("ms") > 0).select("first.doc_id", "first.start", "key"), "places")
     contents = _contents(docs, places, id_col, text_col, length, limit)
-    near = near_keys(index, contents, num, den)
+    near = near_keys(index, contents, num, den, length)
     clustered = look_up(keyed.select("key", "first", "last", "n"), near.withColumnRenamed("id", "key"), ["key"], "left", limit)
     clustered = settle(clustered.select("key", "first", "last", "n", F.coalesce("component", "key").alias("cluster_id")), "clustered")
     clusters = clustered.groupBy("cluster_id").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("cluster_size")).where("first.doc_id < last")
