@@ -59,3 +59,31 @@ def test_empty(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "near dedup", "mixing", "packing"]
+
+
+def test_batches_of_long_texts_stay_small(spark):
+    """What a worker gets at once is bounded by bytes, not by Spark's 64 MB; all rows arrive."""
+    import pyarrow as pa
+
+    from textloom.session import BATCH_BYTES, prepare
+
+    prepare(spark)
+    docs = spark.range(0, 200, 1, 1).selectExpr("id", "repeat('word ', 20000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["b", "n"])
+
+    got = docs.mapInArrow(sizes, "b long, n long").collect()
+    assert sum(r["n"] for r in got) == 200 and max(r["b"] for r in got) <= BATCH_BYTES + 200_000
+
+
+def test_words_can_be_given_back():
+    """Packing gives back the table of words that an earlier stage left in its worker."""
+    from textloom.llm import packing
+    from textloom.llm.words import _hashes, word_hashes
+
+    word_hashes([b"one", b"two"])
+    assert _hashes
+    packing.forget()
+    assert not _hashes and word_hashes([b"one"]).tolist() == [_hashes[b"one"]]

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from textloom.llm.tokens import ID_BYTES, checksum, default_tokenizer, encoder
+from textloom.llm.words import forget
 
 CAPACITY = 4096
 #: Windows that may be open at once; beyond it they are cut and filled up. Bounds a task's memory.
@@ -140,6 +141,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     end = int(end_id).to_bytes(ID_BYTES, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         encode = encoder(path).encode
         first = TaskContext.get().partitionId() << 36
         done = 0

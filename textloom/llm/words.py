@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Words kept by a worker, about 60 MB; beyond it the table starts anew.
@@ -25,6 +26,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+def forget() -> None:
+    """Gives back what this worker keeps of words and of batches; for tasks that keep much else."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of the runs of n words, in order."""
     if len(words) < n:
