@@ -201,3 +201,51 @@ def test_texts_hashed_together_or_alone(spark, monkeypatch):
             got += zip(at + text, start - np.concatenate([[0], ends])[text], key, *minima, strict=True)
         want = [(k, *x) for k, t in enumerate(texts) for s, key, m in [sd.paragraphs(t, 2, length, window)] for x in zip(s, key, *m, strict=True)]
         assert got == want and len({k for k, *_ in got}) > 50
+
+
+def test_paragraphs_without_a_like_are_never_rows(spark, monkeypatch):
+    """Only paragraphs that share a band become rows; which ones is found exactly, however questions are dealt."""
+    made = {}
+
+    def settle(df, name, plain=sd.settle):
+        out = plain(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        if name == "hits":
+            made["rows"] = [tuple(r) for r in out.collect()]
+        return out
+
+    monkeypatch.setattr(sd, "settle", settle)
+    monkeypatch.setattr(sd, "TASK_QUESTIONS", 2000, raising=False)
+    monkeypatch.setattr(sd, "BATCH_WORDS", 5000)
+    draw = random.Random(12)
+    word = lambda: f"v{draw.randint(0, 10**6)}"
+    shared = [word() for _ in range(60)]
+    texts = [(i, " ".join([word() for _ in range(300)] + (shared if i % 20 == 0 else []) + [word() for _ in range(20)])) for i in range(120)]
+    texts += [(0, texts[0][1]), (20, texts[40][1])]  # equal rows of an id, and an id with two texts
+    rows = repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    every = [(i, int(s), int(k), tuple(m)) for i, t in texts for s, k, m in zip(*(lambda p: (p[0], p[1], p[2].T.tolist()))(sd.paragraphs(t, 3)), strict=True)]
+    keys = {}
+    for _, _, k, ms in every:
+        for m in ms:
+            keys.setdefault(m, Counter())[k] += 1
+    want = {x for x in every if any(keys[m].total() > 1 for m in x[3])}
+    assert {(r[0], r[1], r[2]) for r in made["rows"]} == {x[:3] for x in want} and len(made["rows"]) == len(want)
+    assert {r[2]: tuple(r[4:]) for r in made["rows"]} == {k: tuple(m if len(keys[m]) > 1 else None for m in ms) for _, _, k, ms in want}
+    assert {r["doc_id"] for r in rows} == set(range(0, 120, 20)) and 10 * len(want) < len(every)
+    made.pop("rows")
+    assert max(n for name, n in made.items() if name not in ("answers", "twice")) <= 2 * len(want), made  # a repeated row's twice
+
+
+def test_an_id_of_several_rows_counts_a_place_once(spark):
+    draw = random.Random(13)
+    word = lambda: f"v{draw.randint(0, 10**6)}"
+    passage = " ".join(word() for _ in range(70))
+    other = " ".join(word() for _ in range(90))
+    texts = [(1, passage), (1, passage), (2, other + " " + passage), (2, passage + " " + other), (3, passage), (4, other)]
+    for limit in (None, 0):
+        rows = repeated_passages(spark.createDataFrame(texts, "doc_id long, text string"), limit=limit).collect()
+        assert len({(r["doc_id"], r["start"]) for r in rows}) == len(rows)
+        for c in {r["cluster_id"] for r in rows}:
+            mine = [r for r in rows if r["cluster_id"] == c]
+            assert {r["cluster_size"] for r in mine} == {len(mine)}
+            assert {(r["keep_doc_id"], r["keep_start"]) for r in mine} == {min((r["doc_id"], r["start"]) for r in mine)}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import discard, look_up, settle, small
@@ -26,6 +27,8 @@ RECALL = 0.97
 LIST = 32
 #: Words of one batch of texts, and of a text that is a batch of its own.
 BATCH_WORDS, LONG_TEXT = 2**17, 2**19
+#: Questions for shared minima that a task answers, on average (16 bytes each).
+TASK_QUESTIONS = 750_000
 
 
 def bands_for(length: int = LENGTH, recall: float = RECALL, rows: int = 1) -> int:
@@ -117,21 +120,132 @@ def paragraphs(text: str | None, bands: int, length: int = LENGTH, window: int =
     return start, *_digests(h, start, bands, length)
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, bands: int, length: int, window: int) -> DataFrame:
-    """(doc_id, start, key, m0, m1, ...) of every paragraph."""
-    names = [f"m{b}" for b in range(bands)]
+def _parts(docs: DataFrame, id_col: str, text_col: str, bands: int, length: int, window: int) -> DataFrame:
+    """The paragraphs of a batch of texts as one row: part (a random number), n, and arrays of n as bytes: doc_id, start,
+    key and m (one band after the other). As rows of their own they would cost many times as much to move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for at, h, ends in _batches(t.as_py() for t in batch.column(1)):
                 start = starts_of(h, length, window, ends)
+                if not len(start):
+                    continue
                 key, minima = _digests(h, start, bands, length)
                 text = np.searchsorted(ends, start, "right")
                 place = (start - np.concatenate([[0], ends])[text]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + text)), pa.array(place), pa.array(key), *map(pa.array, minima)], ["doc_id", "start", "key", *names])
+                row = [uuid.uuid4().int >> 65, len(start), ids[at + text].tobytes(), place.tobytes(), key.tobytes(), minima.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["part", "n", "doc_id", "start", "key", "m"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start int, key long, " + ", ".join(f"{m} long" for m in names))
+    return rows.mapInArrow(run, "part long, n long, doc_id binary, start binary, key binary, m binary")
+
+
+def _numbers(column: pa.Array, k: int, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(column[k].as_buffer(), kind)
+
+
+def _dealt(key: np.ndarray, m: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a part asks: (first place of each of its distinct keys, key number of each place, key number and band of each
+    question, ends of the buckets). A question is a key's minimum in a band; they lie in the order of their buckets."""
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    bucket = ((m.reshape(-1, len(key))[:, first].view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).ravel()
+    order = np.argsort(bucket, kind="stable")
+    return first, number, order % len(first), order // len(first), np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+
+
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values, one after the other in ``data``, that end before its places ``ends``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+_QUESTION = np.dtype([("m", np.int64), ("key", np.int64)])
+
+
+def _answers(m: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """1 where another question has the same m, and 2 more where one with the same m has another key."""
+    if not len(m):
+        return np.empty(0, np.uint8)
+    order = np.argsort(m)
+    m, key = m[order], key[order]
+    same = np.concatenate([[False], m[1:] == m[:-1]])
+    starts = np.flatnonzero(~same)
+    sizes = np.diff(starts, append=len(m))
+    other = np.logical_or.reduceat(same & np.concatenate([[False], key[1:] != key[:-1]]), starts)
+    out = np.empty(len(m), np.uint8)
+    out[order] = np.repeat((sizes > 1) + 2 * other, sizes).astype(np.uint8)
+    return out
+
+
+def _hits(parts: DataFrame, bands: int) -> DataFrame:
+    """(doc_id, start, key, led, m0, m1, ...) of the paragraphs that share a band with another paragraph, m0, ... only
+    where one with another key has it; led is the doc_id at a key's first place in a text, else null.
+
+    A minimum is asked for once for each key of a part, so frequent keys do not gather, in a bucket of its hash; buckets
+    grow in number with the table. The answer to a question takes a byte and goes back to the part. Only the distinct
+    keys of one band lie in one task, 16 bytes each."""
+    asked = parts.agg(F.sum("n")).first()[0] or 0
+    tasks = asked * bands // TASK_QUESTIONS + 1
+    buckets = 2 * tasks
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                key, m = (_numbers(batch.column(c), k) for c in (1, 2))
+                first, _, number, band, ends = _dealt(key, m, buckets)
+                out = np.empty(len(number), _QUESTION)
+                out["m"], out["key"] = m.reshape(bands, -1)[band, first[number]], key[first[number]]
+                some = np.flatnonzero(np.diff(ends, prepend=0))
+                part = pa.array(np.full(len(some), batch.column(0)[k].as_py()))
+                yield pa.RecordBatch.from_arrays([part, pa.array(some.astype(np.int32)), _binaries(out, ends[some])], ["part", "bucket", "asked"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [(b.column(0), b.column(1), np.concatenate([_numbers(b.column(2), k, _QUESTION) for k in range(b.num_rows)]), np.array([len(x.as_buffer()) for x in b.column(2)]) // _QUESTION.itemsize) for b in batches if b.num_rows]
+        if every:
+            out, at = _answers(*(np.concatenate([q[c] for _, _, q, _ in every]) for c in ("m", "key"))), 0
+            for part, bucket, q, sizes in every:
+                yield pa.RecordBatch.from_arrays([part, bucket, _binaries(out[at : at + len(q)], np.cumsum(sizes))], ["part", "bucket", "said"])
+                at += len(q)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (doc, start), (key, m) = (_numbers(batch.column(c), k, t) for c, t in ((0, np.int64), (1, np.int32))), (_numbers(batch.column(c), k) for c in (2, 3))
+                first, number, asker, band, _ = _dealt(key, m, buckets)
+                said = np.zeros((bands, len(first)), np.uint8)
+                said[band, asker] = np.frombuffer(b"".join(x["said"] for x in sorted(batch.column(4)[k].as_py(), key=lambda x: x["bucket"])), np.uint8)
+                hit = np.flatnonzero(((said.any(0)) | (np.bincount(number) > 1))[number])
+                told = said[:, number[hit]] < 2
+                key, doc, start, m = key[hit], doc[hit], start[hit], m.reshape(bands, -1)[:, hit]
+                order = np.lexsort((start, doc, key))  # places of a key in a text follow one another
+                late = np.zeros(len(hit), bool)
+                late[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+                columns = [pa.array(doc), pa.array(start), pa.array(key), pa.array(doc, mask=late), *(pa.array(m[b], mask=told[b]) for b in range(bands))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "key", "led", *(f"m{b}" for b in range(bands))])
+
+    questions = parts.select("part", "key", "m").mapInArrow(ask, "part long, bucket int, asked binary")
+    said = settle(questions.repartition(tasks, "bucket").mapInArrow(answer, "part long, bucket int, said binary"), "answers")
+    said_to = said.groupBy("part").agg(F.collect_list(F.struct("bucket", "said")).alias("said"))
+    both = parts.drop("n").join(said_to.hint("merge"), "part").select("doc_id", "start", "key", "m", "said")
+    out = settle(both.mapInArrow(pick, "doc_id long, start int, key long, led long, " + ", ".join(f"m{b} long" for b in range(bands))), "hits")
+    discard(said)
+    return out
+
+
+def _once(hits: DataFrame, docs: DataFrame, id_col: str, limit: int | None) -> DataFrame:
+    """Hits with one row for each (doc_id, start, key). Only ids that several rows have can repeat them."""
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    twice = settle(ids.where("n > 1").select("doc_id"), "twice")
+    if twice.limit(1).count():
+        rest = hits.join(small(twice, limit), "doc_id", "left_anti")
+        again = hits.join(small(twice, limit), "doc_id", "left_semi").dropDuplicates(["doc_id", "start", "key"])
+        least = F.min("start").over(Window.partitionBy("doc_id", "key"))
+        again = again.withColumn("led", F.when(F.col("start") == least, F.col("doc_id")))
+        hits, every = settle(rest.unionByName(again), "hits"), hits
+        discard(every)
+    discard(twice)
+    return hits
 
 
 def _contents(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, length: int, limit: int | None) -> DataFrame:
@@ -286,15 +400,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     once. Empty table: no rows. Other columns are not read. ``limit`` replaces the bound of broadcasts, in rows.
     """
     bands = bands_for(length, recall)
-    rows = settle(_rows(docs, id_col, text_col, bands, length, window), "paragraphs")
-    minima = F.explode(F.array(*[f"m{b}" for b in range(bands)])).alias("m")
-    shared = rows.select("key", minima).groupBy("m").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n"))
-    shared = settle(shared.where("n > 1").select("m", (F.col("least") < F.col("most")).alias("differs")), "bands")
-    hits = rows.select("doc_id", "start", "key", minima).join(small(shared, limit), "m")
-    hits = hits.groupBy("doc_id", "start", "key").agg(F.collect_set(F.when(F.col("differs"), F.col("m"))).alias("ms"))
-    hits = settle(hits, "hits")
-    discard(rows, shared)
-    keyed = settle(hits.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.first("ms").alias("ms")), "keys")
+    parts = settle(_parts(docs, id_col, text_col, bands, length, window), "paragraphs")
+    hits = _hits(parts, bands)
+    discard(parts)
+    hits = _once(hits, docs, id_col, limit)
+    minima = [f"m{b}" for b in range(bands)]
+    keyed = hits.groupBy("key").agg(F.min("led").alias("doc_id"), F.min_by("start", "led").alias("start"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), *(F.max(m).alias(m) for m in minima))
+    keyed = keyed.select("key", F.struct("doc_id", "start").alias("first"), "last", "n", F.array_distinct(F.array_compact(F.array(*minima))).alias("ms"))
+    keyed = settle(keyed.where("size(ms) > 0 OR first.doc_id < last"), "keys")
     index = settle(keyed.select(F.explode("ms").alias("m"), "key", "n"), "index")
     places = settle(keyed.where(F.size("ms") > 0).select("first.doc_id", "first.start", "key"), "places")
     contents = _contents(docs, places, id_col, text_col, length, limit)
