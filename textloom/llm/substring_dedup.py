@@ -389,8 +389,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     for two paragraphs that differ by one word in the middle (3 bands of one minimum for 0.97). Paragraphs that share a
     band are joined and verified by edit distance: num / den of the words have to be alike (which holds wherever 0.8 of
     the 5-word shingles are the same). Verified links form components; of a component's occurrences the first (least
-    doc_id, then start) is kept and the others are removed. See near_keys for bands that many paragraphs share. Bands
-    and keys are aggregated to counts before their shuffle, never listed.
+    doc_id, then start) is kept and the others are removed. See near_keys for bands that many paragraphs share, and
+    _hits for how shared bands are found: the distinct keys of a band are put together, not its paragraphs.
 
     Paragraphs are distinct by 64-bit keys of their shingles. Shorter passages than 51 words are found where a paragraph
     happens to begin in time, passages of less than ``length`` words never; so are passages with edits, and there the
