@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.edits import deletes, edits, within_one
-from textloom.session import small
+from textloom.session import settle, small
 
 
 def by_enumeration(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def by_index(queries: DataFrame, index: DataFrame, verify: bool = True) -> DataF
     """(q, w): words that share a variant with q. An equality join in place of a distance join; ``verify`` removes the
     few pairs at distance two."""
     probes = queries.select("q").distinct().select("q", F.explode(F.array_union(F.array("q"), deletes(F.col("q")))).alias("variant"))
+    probes = small(settle(probes, "probes"))  # few probes meet the index where it is made
     pairs = probes.join(index, "variant").where("w <> q")
     if verify:
         pairs = pairs.where(within_one(F.col("q"), F.col("w")))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.candidates import by_enumeration, by_index, delete_index
-from textloom.operators.correct import CorrectorConfig, Fold, apply_changes, correct_token_arrays, fold_batches
+from textloom.operators.correct import CorrectorConfig, Fold, apply_changes, correct_token_arrays, model_numbers, row_part, with_reach
 from textloom.operators.lm import NgramModel
 from textloom.session import settle
 
@@ -103,26 +102,22 @@ def sweep(cases: DataFrame, model: NgramModel, ids: list[str], configs: dict[str
         right, same = got[pos] == original, got[pos] == corrupted
         return right, same, not right and not same, got == gold, any(g != w for i, (g, w) in enumerate(zip(gold, got, strict=True)) if i != pos)
 
-    def with_part(part: Broadcast) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            folds = {name: Fold(part.value, c) for name, c in configs.items()}
-            for batch in batches:
-                rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-                for name, fold in folds.items():
-                    flags = list(zip(*(outcome(fold, *r) for r in rows), strict=True)) or [()] * len(OUTCOMES)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(f, pa.bool_()) for f in flags)], ["config", *OUTCOMES])
-
-        return run
-
-    rows, out = cases.select("tokens", "noisy", "pos", "original", "corrupted"), []
-    for batch, found, whole in fold_batches(rows, model, next(iter(configs.values())), "noisy"):
-        part = cases.sparkSession.sparkContext.broadcast(found)
-        made = batch.mapInArrow(with_part(part), "config string, " + ", ".join(f"{c} boolean" for c in OUTCOMES))
-        if not whole:
-            made = settle(made, "outcomes")
-            part.destroy()
-        out.append(made)
-    return _accuracy(reduce(DataFrame.union, out).groupBy("config"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = {name: [] for name in configs}
+            for i in range(batch.num_rows):
+                *row, found, pairs = (c[i].as_py() for c in batch.columns)
+                part = row_part(found, pairs, numbers)
+                for name, c in configs.items():
+                    flags[name].append(outcome(Fold(part, c), *row))
+            for name, rows in flags.items():
+                columns = list(zip(*rows, strict=True)) or [()] * len(OUTCOMES)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(f, pa.bool_()) for f in columns)], ["config", *OUTCOMES])
+
+    numbers, first = model_numbers(model), next(iter(configs.values()))
+    least = replace(first, min_length=min(c.min_length for c in configs.values()))
+    rows = with_reach(cases.select("tokens", "noisy", "pos", "original", "corrupted"), model, least, "noisy")
+    return _accuracy(rows.mapInArrow(run, "config string, " + ", ".join(f"{c} boolean" for c in OUTCOMES)).groupBy("config"))
 
 
 def threshold_sweep(cases: DataFrame, model: NgramModel, ids: list[str], thresholds=(1, 2, 3, 4, 5, 6, 8, 10)) -> DataFrame:
